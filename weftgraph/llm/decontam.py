@@ -46,12 +46,16 @@ def template(tokens: Column) -> Column:
 
 
 def _windows(rows: DataFrame, text: str, width: int) -> DataFrame:
-    """All other columns, and pos, t0..: the windows of template tokens."""
+    """All other columns, and pos, t0..: the windows of template tokens.
+
+    The outer generator keeps the optimizer from testing the array before it is exploded: the test would repeat the
+    array's whole expression, regular expressions included, for each of its parts."""
     keep = [c for c in rows.columns if c != text]
-    rows = rows.select(*keep, F.split(F.col(text), " ").alias("_a")).where(F.size("_a") >= width)
-    n = F.size("_a") - (width - 1)
+    rows = rows.select(*keep, F.split(F.col(text), " ").alias("_a"))
+    n = F.greatest(F.size("_a") - (width - 1), F.lit(0))
     zipped = F.arrays_zip(*(F.slice("_a", k + 1, n).alias(f"t{k}") for k in range(width)))
-    return rows.select(*keep, zipped.alias("_z")).select(*keep, F.posexplode("_z").alias("pos", "_w")).select(*keep, "pos", *(F.col(f"_w.t{k}") for k in range(width)))
+    rows = rows.select(*keep, zipped.alias("_z")).select(*keep, F.posexplode_outer("_z").alias("pos", "_w"))
+    return rows.where("pos is not null").select(*keep, "pos", *(F.col(f"_w.t{k}") for k in range(width)))
 
 
 def _hash(width: int) -> Column:
@@ -84,7 +88,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text"
     hits = cut(hits, "decontam-hits")
     pairs = cut(decide(hits), "decontam-pairs")
     # Slots matter where an item of a found pair has any.
-    slots = lambda rows, key, at, value: rows.select(key, F.posexplode(F.split("m", " ")).alias(at, value)).where(F.col(value).startswith(SLOT))
+    slots = lambda rows, key, at, value: rows.select(key, F.posexplode_outer(F.split("m", " ")).alias(at, value)).where(F.col(value).startswith(SLOT))
     item_slots = slots(items, "item_id", "islot", "was").join(pairs.select("item_id").distinct(), "item_id", "left_semi")
     slotted = pairs.join(item_slots.select("item_id").distinct(), "item_id", "left_semi").select("_key", "item_id")
     keys = cut(slotted.select("_key").distinct(), "decontam-slotted")

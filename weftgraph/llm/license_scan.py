@@ -78,7 +78,7 @@ def notices(files: DataFrame, templates=TEMPLATES, threshold=0.75) -> DataFrame:
     spark = files.sparkSession
     weights, idf, unseen, anchors = fit(templates, threshold)
     held = r"(?i)(^|[^a-z0-9])(" + "|".join(anchors) + ")([^a-z0-9]|$)"
-    lines = files.where(F.col("text").rlike(held)).select("_key", F.posexplode(F.filter(F.split("text", "[\r\n]+"), lambda x: x.rlike(held))).alias("line", "l"))
+    lines = files.where(F.col("text").rlike(held)).select("_key", F.posexplode_outer(F.filter(F.split("text", "[\r\n]+"), lambda x: x.rlike(held))).alias("line", "l"))
     terms = lines.select("_key", "line", F.explode(F.regexp_extract_all(F.lower("l"), F.lit(TERM), 0)).alias("term"))
     terms = terms.groupBy("_key", "line", "term").agg(F.count("*").alias("tf"))
     # The templates are a parameter of the code, so their few hundred terms may be broadcast.
