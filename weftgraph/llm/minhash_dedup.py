@@ -2,14 +2,17 @@
 
 One hash function orders all shingles. A document's sketch keeps the smallest values of its set: the r smallest of each
 of m strata of the hash, k = m * r in all. The inverted lists hold the retained values, a stratum's r values together as
-one entry: two sets of similarity J agree on an entry with a chance of about J^r, so that with r = 4 and m = 32 a pair at
-J = 0.8 shares none with a chance below 1e-7, while a passage that many documents share makes few entries alike.
+one entry: two sets of similarity J agree on an entry with a chance of about J^r, so that with r = 5 and m = 40 a pair at
+J = 0.8 shares none with a chance of about 1e-7, while a passage that many documents share makes few entries alike. Small
+sets get as many strata as pairs at the threshold can differ in shingles, plus one, so that such pairs always share one.
+Similar sets have sizes within a factor of J: sizes are cut into steps of that factor, and a document's entries are
+made for its own step and the next, in which it meets the documents of its step and of both neighbours.
 
 Overlaps are not spelled out as pairs. Each list ties its documents to its smallest, and connected components of these
-ties are clusters of candidates. Inside a cluster, documents are laid out by set size (similar sets have sizes within a
-factor of J) and compared tile by tile: the overlap of the union's bottom-k sketch estimates every pair's similarity,
-pairs that could reach the threshold are counted on their full sets, and a task returns only the components it saw. Equal
-sets are compared once. Nothing is capped: a large list makes a large cluster, hence more tile tasks of the same size.
+ties are clusters of candidates. Inside a cluster, documents are laid out by set size and compared tile by tile: the
+overlap of the union's bottom-k sketch estimates every pair's similarity, pairs that could reach the threshold are
+counted on their full sets, and a task returns only the components it saw. Equal sets are compared once. Nothing is
+capped: a large list makes a large cluster, hence more tile tasks of the same size.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from weftgraph.llm._shared import components, cut, deal_tiles, roots, table
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
-STRATA, RUN = 32, 4
+STRATA, RUN = 40, 5
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -65,21 +68,31 @@ def shingle_set(text: bytes | None, hashes: WordHashes, size: int) -> np.ndarray
     return np.unique(mix64(h))
 
 
-def entries(s: np.ndarray) -> np.ndarray:
-    """One entry per stratum in use: a hash of the stratum and of its RUN smallest values."""
-    stratum = (s & np.uint64(STRATA - 1)).astype(np.int64)
-    order = np.argsort(stratum, kind="stable")
-    stratum, values = stratum[order], s[order]
-    start = np.searchsorted(stratum, np.arange(STRATA))
-    place = np.arange(len(s)) - start[stratum]
-    low = place < RUN
-    key = np.zeros(STRATA, np.uint64)
-    np.add.at(key, stratum[low], values[low] * ODD[place[low]])
-    used = np.unique(stratum)
-    return mix64(key[used] ^ (used.astype(np.uint64) * ODD[6])).view(np.int64)
+def step_of(n: int, percent: int) -> int:
+    """Sizes in steps of the factor that similar sets differ by at most."""
+    return math.floor(math.log(n) / (math.log(100 / percent) * (1 + 1e-9)))
 
 
-def _sketches(size):
+def entries(s: np.ndarray, percent: int) -> np.ndarray:
+    """For the set's step of sizes and the next: an entry per stratum in use, a hash of step, stratum and its RUN
+    smallest values."""
+    out, step = [], step_of(len(s), percent)
+    for at in (step, step + 1):
+        differ = (100 - percent) / percent * (100 / percent) ** (at + 1)  # at most, for sets that meet in this step
+        strata = min(STRATA, int(differ) + 1)
+        stratum = (s % np.uint64(strata)).astype(np.int64)
+        order = np.argsort(stratum, kind="stable")
+        stratum, values = stratum[order], s[order]
+        place = np.arange(len(s)) - np.searchsorted(stratum, np.arange(strata))[stratum]
+        low = place < RUN
+        key = np.zeros(strata, np.uint64)
+        np.add.at(key, stratum[low], values[low] * ODD[place[low]])
+        used = np.unique(stratum)
+        out.append(mix64(key[used] ^ ((used + at * STRATA).astype(np.uint64) * ODD[6])))
+    return np.concatenate(out).view(np.int64)
+
+
+def _sketches(size, percent):
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
@@ -88,7 +101,7 @@ def _sketches(size):
                 s = shingle_set(text.as_py(), hashes, size)
                 n.append(len(s))
                 key.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
-                lists.append(entries(s) if len(s) else [])
+                lists.append(entries(s, percent) if len(s) else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.string()), pa.array(lists, pa.list_(pa.int64()))], names=["_id", "n_shingles", "_set", "_lists"])
 
     return run
@@ -188,15 +201,16 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle=5
     beyond.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text"))
-    sketched = cut(rows.mapInArrow(_sketches(shingle), "_id long, n_shingles long, _set string, _lists array<bigint>"), "minhash-sketches")
+    sketched = cut(rows.mapInArrow(_sketches(shingle, percent), "_id long, n_shingles long, _set string, _lists array<bigint>"), "minhash-sketches")
     ok = F.col("_id").isNotNull() & (F.col("n_shingles") > 0)
-    classes = sketched.where(ok).groupBy("_set").agg(F.min(F.struct("_id", "n_shingles", "_lists")).alias("s"))
-    classes = cut(classes.select("_set", F.col("s._id").alias("rep"), F.col("s.n_shingles").alias("n"), F.col("s._lists").alias("_lists")), "minhash-classes")
-    lists = classes.select("rep", F.explode("_lists").alias("entry"))
-    first = lists.groupBy("entry").agg(F.min("rep").alias("lead"), F.count("*").alias("c")).where("c > 1").select("entry", "lead")
-    ties = lists.join(first, "entry").where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
-    clusters = components(ties).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    members = cut(clusters.join(classes.select("rep", "n"), "rep"), "minhash-clusters")
+    node = F.conv(F.substring("_set", 1, 15), 16, 10).cast("long")
+    classes = sketched.where(ok).groupBy("_set").agg(F.min("_id").alias("rep"), F.max("n_shingles").alias("n"))
+    classes = cut(classes.withColumn("node", node), "minhash-classes")
+    lists = sketched.where(ok).select(node.alias("a"), F.explode("_lists").alias("entry"))
+    first = lists.groupBy("entry").agg(F.min("a").alias("b"), F.max("a").alias("z")).where("b < z").select("entry", "b")
+    ties = lists.join(first, "entry").where("a <> b").select("a", "b").distinct()
+    clusters = components(ties).withColumnRenamed("component", "cluster")
+    members = cut(clusters.join(classes, "node").select("cluster", "rep", "n"), "minhash-clusters")
     total = members.groupBy("cluster").agg(F.count("*").alias("total"))
     by_size = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * (1 + 1e-9))).cast("int")
     # One task takes a whole small cluster; a larger one is dealt out by set size.
@@ -208,7 +222,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle=5
     sets = texts.select("cluster", "cell", "kind", "i", "j", "side", "rep", "_text").mapInArrow(_sets(shingle), "cluster long, cell int, kind int, i int, j int, side int, rep long, _values binary")
     found = sets.groupBy("cluster", "cell", "kind", "i", "j").applyInArrow(_compare(percent), "a long, b long")
     groups = components(found)
-    named = classes.join(groups, F.col("node") == F.col("rep"), "left").select(F.col("_set").alias("s"), F.coalesce("component", "rep").alias("component_id"))
+    named = classes.drop("node").join(groups, F.col("node") == F.col("rep"), "left").select(F.col("_set").alias("s"), F.coalesce("component", "rep").alias("component_id"))
     linked = sketched.where(ok).join(named, F.col("_set") == F.col("s")).select("_id", "n_shingles", "component_id")
     alone = sketched.where(~ok).select("_id", "n_shingles", F.col("_id").alias("component_id"))
     out = linked.unionByName(alone)
