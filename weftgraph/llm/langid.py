@@ -93,7 +93,7 @@ class Sparse:
     def batch(self, which):
         parts = [self.rows[k] for k in which]
         start = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])[:-1]
-        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), start
+        return np.concatenate([p[0] for p in parts]).astype(np.int64), np.concatenate([p[1] for p in parts]), start
 
 
 def train(rows, labels: np.ndarray, languages: list[str], bits: int, dim=16, epochs=20, rate=2.0, size=32, reject=0.0005, most_threshold=0.4, seed=7) -> Model:
@@ -126,7 +126,7 @@ def train(rows, labels: np.ndarray, languages: list[str], bits: int, dim=16, epo
             # Embeddings see tiny shares; a larger step for them balances the two layers.
             np.add.at(emb, used, -step * 64 * share[:, None] * np.repeat(back, np.diff(np.append(start, len(used))), axis=0))
         learn = rng.permutation(learn)
-    logits = np.concatenate([hidden(kept[s : s + 256])[3] @ out + bias for s in range(0, len(kept), 256)])
+    logits = np.concatenate([hidden(kept[s : s + size])[3] @ out + bias for s in range(0, len(kept), size)])
     best, loss = 1.0, np.inf
     for t in np.geomspace(0.02, 5, 60):
         now = -np.log(np.maximum(_softmax(logits / t)[np.arange(len(kept)), labels[kept]], 1e-12)).mean()
@@ -135,7 +135,7 @@ def train(rows, labels: np.ndarray, languages: list[str], bits: int, dim=16, epo
     return Model(languages, emb @ out, bias, float(best), float(min(most_threshold, np.quantile(sure, reject))))
 
 
-def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per_language=400, bits=15, pieces=(4, 12, 40)) -> Model | None:
+def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per_language=250, bits=15, pieces=(4, 12, 40)) -> Model | None:
     """Trains on about ``per_language`` rows of each language of ``docs``, chosen by a hash of the id: this bounds what
     the driver gathers to ``per_language`` x languages x (1 + pieces) sparse rows. None where no row can be learned from."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
@@ -154,9 +154,10 @@ def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per_
         found = rows.select(F.xxhash64(F.col("_id").cast("string"), "_text").alias("_id"), "_text", "_lang").where(F.col("_lang").isin([x for x in languages if counts[x] <= per_language])).mapInArrow(_features(bits, pieces), "key long, part int, lang string, used binary, share binary").toArrow()
     found = found.sort_by([("key", "ascending"), ("part", "ascending"), ("lang", "ascending")])
     kind = np.uint16 if bits <= 16 else np.uint32
-    data = [(np.frombuffer(u.as_py(), kind).astype(np.int64), np.frombuffer(s.as_py(), np.float32)) for u, s in zip(found.column("used"), found.column("share"), strict=True)]
+    data = [(np.frombuffer(u.as_py(), kind), np.frombuffer(s.as_py(), np.float32)) for u, s in zip(found.column("used"), found.column("share"), strict=True)]
     seen = sorted(set(found.column("lang").to_pylist()))
     labels = np.array([seen.index(x) for x in found.column("lang").to_pylist()])
+    del found, sample
     return train(data, labels, seen, bits)
 
 
