@@ -84,7 +84,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014): each round replaces the edges by edges to
     smaller nodes, at most as many as before. Only counts and a checksum reach the driver. Minima are combined
-    before the shuffle; the joins are plain equi-joins, whose hot nodes adaptive execution can split.
+    before the shuffle and written, so that the join to them has a shuffle of its own on both sides, whose hot nodes
+    adaptive execution can split.
     """
     e = (
         edges.where("a <> b")
@@ -98,12 +99,13 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(small, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         last, e = e, cut(moved.unionByName(small.withColumnRenamed("m", "v")).distinct(), "cc")
         forget(last)
+        forget(least)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
