@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from weftgraph.operators import algorithms
+
 _services: dict[str, Callable[..., DataFrame]] = {}
 
 
@@ -21,3 +23,6 @@ def call(name: str, rows: DataFrame, **parameters) -> DataFrame:
     if name not in _services:
         raise KeyError(f"no service {name}; there are {names()}")
     return _services[name](rows, **parameters)
+
+
+register("degree", lambda rows, edges, direction="both": algorithms.degree(rows, edges, direction))

@@ -270,7 +270,6 @@ def _ksp(g):
 
 
 q("ksp", _ksp)
-services.register("degree", lambda rows, edges, direction="both": algorithms.degree(rows, edges, direction))
 
 # Changes and the catalogue
 q("drop", lambda g: g.drop_vertices("orders", g.vertices["orders"].df.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"))).traversal().V().has_label("customer").out("placed").out("contains").count(), "SELECT count(*) AS count FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'F'")
