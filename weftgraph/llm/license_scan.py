@@ -43,8 +43,8 @@ TEMPLATES = (
     ("CC0-1.0", "Released into the public domain under CC0 1.0"),
     ("Proprietary", "All rights reserved"),
 )
-#: Function words make poor anchors; they are the first that the search for anchors does without.
-COMMON = frozenset("a all and any are as by code files following form free in into is it later of only or out permitted person program provided public redistribute source subject that the this to under use v version with without work you".split())
+#: Words that any text may hold, the most common first, and bare numbers: the search for anchors does without these first.
+COMMON = "the of and to a in is it by are as or with that this for be any all you can under from use work only out into free form without subject general v version 0 1 2 3 4".split()
 TERM, LICENCE_FILE = "[a-z0-9]+", r"(?i)(^|/)(licen[cs]e|copying|notice)(\.[a-z]+)?$"
 
 
@@ -60,10 +60,11 @@ def fit(templates=TEMPLATES, threshold=0.75):
         norm = math.sqrt(sum(w * w for w in raw.values()))
         unit = {t: w / norm for t, w in raw.items()}
         weights += [(k, t, w) for t, w in unit.items()]
-        light = 0.0
-        for t, w in sorted(unit.items(), key=lambda x: (x[0] not in COMMON, x[1], x[0])):
-            light += w * w
-            if light >= threshold * threshold - 1e-9:
+        light, rank = 0.0, {t: k for k, t in enumerate(COMMON)}
+        for t, w in sorted(unit.items(), key=lambda x: (rank.get(x[0], len(rank)), x[1], x[0])):
+            if light + w * w < threshold * threshold - 1e-9:
+                light += w * w
+            else:
                 anchors.add(t)
     return weights, idf, math.log(1 + len(bags)) + 1, sorted(anchors)
 
