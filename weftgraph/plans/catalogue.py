@@ -24,8 +24,21 @@ def q(name: str, run: Callable[[PropertyGraph], DataFrame], sql: str | None = No
         _sql[name] = sql
 
 
+_last: dict[tuple, PropertyGraph] = {}
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """The graph over a folder, kept for the last session and folder: its frames are lazy plans, but reading their schemas
+    takes a second."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    if key not in _last:
+        _last.clear()
+        _last[key] = load(spark, sf_dir)
+    return _last[key]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, f=f: f(load(spark, sf_dir))) for name, f in _queries.items()}
+    return {name: (lambda spark, sf_dir, f=f: f(_graph(spark, sf_dir))) for name, f in _queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
