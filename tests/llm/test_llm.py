@@ -354,6 +354,17 @@ def test_lm_probabilities_sum_to_one(spark):
     assert abs(shares - 1) < 0.02 and other.count() == model.distinct - 16
 
 
+def test_lm_rare_end(spark):
+    """The end of a text is known, with its own count, where every word of the lexicon is more frequent."""
+    texts = spark.createDataFrame([(bytearray(b"a b c d " * 5),), (bytearray(b"a b c d e"),)], "text binary")
+    model, other = lm_score.fit(texts, lexicon=3, contexts=2)
+    assert model.words == [b"", b"a", b"b"] and model.distinct == 6 and model.train_tokens == 27
+    docs_ = spark.createDataFrame([(1, "a e zz")], "doc_id long, text string")
+    r = lm_score.score(docs_, model, other, lm_score.F.lit(True)).first()
+    base = sum(math.log10((n + 0.1) / (27 + 0.1 * 7)) for n in (6, 1, 0, 2))
+    assert (r.n_tokens, r.n_known) == (4, 3) and math.isclose(r.base_score, base, rel_tol=1e-9)
+
+
 def test_seating():
     rng = np.random.default_rng(0)
     c = np.full(4000, 200)
