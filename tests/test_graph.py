@@ -35,6 +35,9 @@ def test_modern(modern):
     V = lambda *x: modern.traversal().V().has_label(*x) if x else modern.traversal().V()
     assert V().values("age").reduce("max").first().value == 35 and V().count().first()["count"] == 6
     assert V().repeat(__.both(), times=5).values("age").reduce("min").first().value == 27
+    twice = V().repeat(__.both(), times=2)
+    assert twice.count().first()["count"] == len(twice.path().collect()) == sum(len(x) for x in two_steps().values())
+    assert twice.values("age").reduce("max").first().value == 35 and twice.values("age").count().first()["count"] == twice.values("age").table(v=".value").count()
     assert names(V("person").out("created").table(name=".name"), "name") == ["lop", "lop", "lop", "ripple"]
     assert names(V().has("name", "marko").out().table(name=".name"), "name") == ["josh", "lop", "vadas"]
     assert {r.id: r.n for r in V().repeat_counted(__.both(), 2).collect()} == {k: sum(1 for _ in v) for k, v in two_steps().items()}

@@ -74,6 +74,7 @@ class Steps:
 
 
 __ = Steps()
+HOPS = {"out", "in_", "both"}
 FILTERS = {"has", "has_not", "has_label", "has_id", "has_key", "and_", "or_", "not_", "loops", "where"}
 
 
@@ -115,8 +116,18 @@ def _edge_frame(graph, e, prefix, properties) -> DataFrame:
 
 
 class Traversal:
-    def __init__(self, graph: PropertyGraph, branches, scope=None):
-        self.graph, self.branches, self.scope = graph, list(branches), scope
+    """``branches``: a list, or a function that builds it when first asked for. ``merged``: a function that builds the same
+    rows merged by their last element, with their number in ``_bulk``, for results that don't need the paths."""
+
+    def __init__(self, graph: PropertyGraph, branches, scope=None, merged=None):
+        self.graph, self.scope, self._merged = graph, scope, merged
+        self._branches = branches if callable(branches) else list(branches)
+
+    @property
+    def branches(self) -> list[Branch]:
+        if callable(self._branches):
+            self._branches = self._branches()
+        return self._branches
 
     def _new(self, branches) -> Traversal:
         return Traversal(self.graph, branches, self.scope)
@@ -459,7 +470,9 @@ class Traversal:
                     out.append(x.to(x.df.withColumn(prefix + "value", c).where(F.col(prefix + "value").isNotNull()), Pos("value", None, None, prefix)))
             return out
 
-        return self._each(one)
+        if self._merged is None:
+            return self._each(one)
+        return Traversal(self.graph, lambda: self._each(one).branches, merged=lambda: [x for b in self._merged() for x in one(b)])
 
     def id(self) -> Traversal:
         return self._map(lambda b: self._prop(b, len(b.path) - 1, "id"))
@@ -653,9 +666,18 @@ class Traversal:
 
     def repeat(self, body: Steps, times=None, until: Steps | None = None, emit=None, until_first=False, emit_first=False, most=100, cut_every=4) -> Traversal:
         """do-while unless ``until_first``. ``emit``: True or a filter. Rows that dead-end without meeting ``until`` are
-        dropped. With ``until``, the frontier is written every ``cut_every`` rounds and its emptiness ends the loop."""
+        dropped. With ``until``, the frontier is written every ``cut_every`` rounds and its emptiness ends the loop.
+
+        With ``times`` alone and a body of plain hops, count, max and min of what follows go by merged rows: neither the
+        plan nor the frontier grows with the number of paths."""
         if times is None and until is None and emit is None:
             return self._new([])
+        plain = until is None and emit is None and times and self.scope is None and body.steps
+        if plain and all(name in HOPS for name, _, _ in body.steps) and all(b.here.kind == "vertex" for b in self.branches):
+            return Traversal(self.graph, lambda: self._repeated(body, times).branches, merged=lambda: self._bulk(body, times))
+        return self._repeated(body, times, until, emit, until_first, emit_first, most, cut_every)
+
+    def _repeated(self, body, times, until=None, emit=None, until_first=False, emit_first=False, most=100, cut_every=4) -> Traversal:
         out, now = [], [dataclasses.replace(b, loops=0) for b in self.branches]
         if times == 0:
             return self
@@ -697,16 +719,25 @@ class Traversal:
     def repeat_counted(self, body: Steps, times: int) -> DataFrame:
         """label, id, n: where ``times`` rounds of the body end, and on how many paths. Rows are merged by element after each
         round, so that a frontier never outgrows the vertices."""
-        now = [(b.here.label, b.df.groupBy(b.here.id.alias("p0__id")).agg(F.count("*").alias("_bulk"))) for b in self.branches]
-        for _ in range(times):
+        parts = [b.df.select(F.lit(b.here.label).alias("label"), b.here.id.alias("id"), F.col("_bulk").alias("n")) for b in self._bulk(body, times)]
+        return reduce(DataFrame.unionByName, parts)
+
+    def _bulk(self, body: Steps, times: int) -> list[Branch]:
+        """One branch per label: its elements (p0__id) and the number of paths to each (_bulk)."""
+
+        def merge(branches, n):
             grown: dict[str, list[DataFrame]] = {}
-            for label, df in now:
-                v = self.graph.vertices[label]
-                b = Branch(df, (Pos("vertex", label, v, "p0__", hydrated=False),), {})
-                for x in self._run(body, [b]).branches:
-                    grown.setdefault(x.here.label, []).append(x.df.select(x.here.id.alias("p0__id"), "_bulk"))
-            now = [(k, reduce(DataFrame.unionByName, dfs).groupBy("p0__id").agg(F.sum("_bulk").alias("_bulk"))) for k, dfs in grown.items()]
-        return reduce(DataFrame.unionByName, (df.select(F.lit(k).alias("label"), F.col("p0__id").alias("id"), F.col("_bulk").alias("n")) for k, df in now))
+            for b in branches:
+                grown.setdefault(b.here.label, []).append(b.df.select(b.here.id.alias("p0__id"), n.alias("_bulk")))
+            return [
+                Branch(reduce(DataFrame.unionByName, dfs).groupBy("p0__id").agg(F.sum("_bulk").alias("_bulk")), (Pos("vertex", k, self.graph.vertices[k], "p0__", hydrated=False),), {})
+                for k, dfs in grown.items()
+            ]
+
+        now = merge(self.branches, F.lit(1).cast("long"))
+        for _ in range(times):
+            now = merge(self._run(body, now).branches, F.col("_bulk"))
+        return now
 
     # Results
 
@@ -786,6 +817,9 @@ class Traversal:
         return self.table(value=spec)
 
     def count(self) -> DataFrame:
+        if self._merged is not None and (merged := self._merged()):
+            counts = reduce(DataFrame.unionByName, (b.df.select("_bulk") for b in merged))
+            return counts.agg(F.coalesce(F.sum("_bulk"), F.lit(0)).cast("long").alias("count"))
         parts = [b.df.select(F.lit(1).alias("x")) for b in self.branches]
         if not parts:
             return self.graph.spark.range(1).select(F.lit(0).cast("long").alias("count"))
@@ -793,7 +827,8 @@ class Traversal:
 
     def reduce(self, how: str, spec=".value") -> DataFrame:
         """max, min, sum or mean over all labels together; no row over nothing. max and min pass over NaN, sum keeps it."""
-        values = self.table(value=spec)
+        merged = self._merged is not None and how in ("max", "min") and spec == ".value"
+        values = (Traversal(self.graph, self._merged()) if merged else self).table(value=spec)
         v = F.col("value")
         if how in ("max", "min") and dict(values.dtypes)["value"] in ("double", "float"):
             v = F.when(~F.isnan(v), v)
