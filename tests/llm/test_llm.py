@@ -388,6 +388,31 @@ def test_lm_odd(odd, none):
     assert lm_score.score(odd, model, other, F.lit(True)).count() == odd.count() and lm_score.score(none, model, other, F.lit(True)).count() == 0
 
 
+def test_lm_whole_contexts(spark):
+    """Rare preceding words are contexts of their own, whatever the lexicon; probabilities after each sum to one."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(7)
+    pairs = [(f"a{k}", f"b{k}") for k in range(200)]
+    rows = [(k, " ".join(" ".join(rng.choice(pairs)) for _ in range(40))) for k in range(100)] + [(100, "a5 b5 " * 20), (101, "a5 b6 " * 20), (102, "zz a5 new"), (None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    held = F.coalesce(F.col("doc_id") >= 100, F.lit(False))
+    for lexicon in ([], [b"", b"a5", b"b5", b"b6"]):
+        got = {r.doc_id: r for r in lm_score.score_whole(d, held, words=lexicon).collect()}
+        assert len(got) == 104 and got[100].score > got[101].score + 20 and got[None].n_tokens == 1 and got[102].n_known == 2
+        assert got[100].held_out and got[100].train_tokens == 100 * 81 + 1
+    texts = d.where("doc_id < 100").select(F.lit(False).alias("_fold"), F.col("text").cast("binary").alias("_text"))
+    every = sorted({w for _, t in rows[:100] for w in t.split()})
+    asked = spark.createDataFrame([(True, bytearray(f"{u} {w}".encode())) for u in ("a5", "b7") for w in [*every, "unseen"]] + [(True, bytearray(u.encode())) for u in (b"a5".decode(), "b7")], "_fold boolean, _text binary")
+    words_ = [b"", *(w.encode() for w in every), b"unseen"]
+    priced, _, _ = lm_score.priced_pairs(texts.unionByName(asked), words_)
+    sums = Counter()
+    for r in priced.collect():
+        sums[r.u] += r.prob
+    assert abs(sums[words_.index(b"a5")] - 1) < 1e-6 and abs(sums[words_.index(b"b7")] - 1) < 1e-6
+    assert lm_score.score_whole(d.where("false"), held).count() == 0
+
+
 # Pipeline
 
 
