@@ -140,6 +140,42 @@ def test_routes(spark):
         services.call("nothing", e)
 
 
+def test_whole_part_graph(spark, sf_dir):
+    """Components and paths of all parts, not of one brand's, against plain Python."""
+    import heapq
+
+    from weftgraph.plans import catalogue
+
+    g = catalogue._graph(spark, sf_dir)
+    rows = next(e for e in g.edges if e.label == "nextPart").df.select("src", "dst", F.col("cost").cast("double").alias("cost")).collect()
+    parts = [r.p_partkey for r in g.vertices["part"].df.collect()]
+    near, comp = {}, {k: k for k in parts}
+    for r in rows:
+        near.setdefault(r.src, {})[r.dst] = min(r.cost, near.get(r.src, {}).get(r.dst, r.cost))
+    changed = True
+    while changed:
+        changed = False
+        for r in rows:
+            low = min(comp[r.src], comp[r.dst])
+            changed |= comp[r.src] != low or comp[r.dst] != low
+            comp[r.src] = comp[r.dst] = low
+    start = min(near)
+    far, heap = {}, [(0.0, start)]
+    while heap:
+        c, u = heapq.heappop(heap)
+        if u not in far:
+            far[u] = c
+            for v, more in near.get(u, {}).items():
+                heapq.heappush(heap, (c + more, v))
+    run = catalogue.queries()
+    assert {r.id: r.component for r in run["components_whole"](spark, sf_dir).collect()} == comp
+    assert {r.node: r.traversal_agg_cost for r in run["driving_distance_whole"](spark, sf_dir).collect()} == {k: c for k, c in far.items() if c <= 120}
+    assert {r.end: r.cost for r in run["dijkstra"](spark, sf_dir).collect()} == {k: c for k, c in far.items() if k != start}
+    found = run["ksp"](spark, sf_dir).orderBy("rank").collect()
+    assert len(found) == 3 and found[0].traversal_agg_cost == far[found[0].path[-1]]
+    assert all(len(set(r.path)) == len(r.path) and sum(near[a][b] for a, b in zip(r.path, r.path[1:])) == r.traversal_agg_cost for r in found)
+
+
 def test_files(spark, modern, tmp_path):
     io.write_graph(modern, str(tmp_path / "g"))
     back = io.read_graph(spark, str(tmp_path / "g"), {"person": "id", "software": "id"}, [("knows", "person", "person"), ("created", "person", "software")])

@@ -266,17 +266,26 @@ q("degree_service", lambda g: services.call("degree", _parts(g), edges=_edges(g,
 q("components", lambda g: algorithms.connected_components(g.vertices["part"].df.where("p_brand = 'Brand#11'").select(F.col("p_partkey").alias("id")), _small(g)), REACH + " SELECT u AS id, min(v) AS component FROM r GROUP BY 1")
 
 
-def _starts(g):
-    return _small(g).agg(F.min("src").alias("id"))
+def _whole(g):
+    """All parts and nextPart edges; of parallel edges the cheapest."""
+    return _edges(g, "nextPart").groupBy("src", "dst").agg(F.min("cost").alias("cost"))
+
+
+q("components_whole", lambda g: algorithms.connected_components(_parts(g), _edges(g, "nextPart")))
+
+
+def _starts(edges):
+    return edges.agg(F.min("src").alias("id"))
 
 
 DIST = f"WITH RECURSIVE {SMALL}, d(n, c) AS (SELECT min(src), 0.0::DOUBLE FROM e UNION SELECT e.dst, d.c + e.cost FROM d JOIN e ON e.src = d.n WHERE d.c + e.cost <= 120)"
-q("driving_distance", lambda g: algorithms.driving_distance(_small(g), _starts(g), 120.0).select("node", "traversal_agg_cost"), DIST + " SELECT n AS node, min(c) AS traversal_agg_cost FROM d GROUP BY 1")
-q("dijkstra", lambda g: algorithms.dijkstra(_small(g), _starts(g), _small(g).select(F.col("dst").alias("id"))).groupBy("start", "end").agg(F.max("traversal_agg_cost").alias("cost"), F.count("*").alias("nodes")))
+q("driving_distance", lambda g: algorithms.driving_distance(_small(g), _starts(_small(g)), 120.0).select("node", "traversal_agg_cost"), DIST + " SELECT n AS node, min(c) AS traversal_agg_cost FROM d GROUP BY 1")
+q("driving_distance_whole", lambda g: algorithms.driving_distance(_whole(g), _starts(_whole(g)), 120.0).select("node", "traversal_agg_cost"))
+q("dijkstra", lambda g: algorithms.dijkstra(_whole(g), _starts(_whole(g)), _whole(g).select(F.col("dst").alias("id"))).groupBy("start", "end").agg(F.max("traversal_agg_cost").alias("cost"), F.count("*").alias("nodes")))
 
 
 def _ksp(g):
-    e = _small(g)
+    e = _whole(g)
     first = e.agg(F.min("src")).first()[0]
     last = algorithms.shortest(e, g.spark.createDataFrame([(first,)], "id long")).orderBy(F.desc("depth"), "node").first()
     return algorithms.ksp(e, first, last["node"], 3) if first is not None and last else g.spark.createDataFrame([], "rank int, path array<bigint>, traversal_agg_cost double")
