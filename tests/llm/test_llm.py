@@ -324,6 +324,20 @@ def test_urls(spark):
     assert url_filter.judge(pages, listed.where("false")).where("listed").count() == 0 and url_filter.judge(pages.where("false"), listed).count() == 0
 
 
+def test_minhash_small_sets_share_an_entry():
+    """Every pair at the threshold does, at every size: random sets of one pair each, exact by their sizes."""
+    rng = np.random.default_rng(9)
+    for percent in (80, 85):
+        for n in range(1, 41):
+            for m in range(n, n * 100 // percent + 1):
+                least = -(-percent * (n + m) // (100 + percent))
+                for shared in range(least, n + 1):
+                    for _ in range(100):
+                        v = rng.integers(0, 2**64, n + m - shared, dtype=np.uint64)
+                        a, b = np.sort(v[:n]), np.sort(v[n - shared :])
+                        assert np.intersect1d(minhash_dedup.entries(a, percent), minhash_dedup.entries(b, percent)).size, (percent, n, m, shared)
+
+
 # Language model
 
 

@@ -3,8 +3,11 @@
 One hash function orders all shingles. A document's sketch keeps the smallest values of its set: the r smallest of each
 of m strata of the hash, k = m * r in all. The inverted lists hold the retained values, a stratum's r values together as
 one entry: two sets of similarity J agree on an entry with a chance of about J^r, so that with r = 5 and m = 40 a pair at
-J = 0.8 shares none with a chance of about 1e-7, while a passage that many documents share makes few entries alike. Small
-sets get as many strata as pairs at the threshold can differ in shingles, plus one, so that such pairs always share one.
+J = 0.8 shares none with a chance of about 1e-7, while a passage that many documents share makes few entries alike. Sets
+of up to SMALL shingles, whose strata could be empty, enter each of their smallest values instead, as many as the set can
+lack of a similar one and one more (a prefix filter): the smallest shared value is then among both sets' entries, always.
+Between, sets get as many strata as pairs at the threshold can differ in shingles, plus one: one is untouched, and a set
+that has an empty stratum, which may be the untouched one, enters a second, independent stratification too.
 Similar sets have sizes within a factor of J: sizes are cut into steps of that factor, and a document's entries are
 made for its own step and the next, in which it meets the documents of its step and of both neighbours.
 
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from weftgraph.llm._shared import components, cut, deal_tiles, roots, table
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
-STRATA, RUN = 40, 5
+STRATA, RUN, SMALL = 40, 5, 30
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -75,20 +78,27 @@ def step_of(n: int, percent: int) -> int:
 
 def entries(s: np.ndarray, percent: int) -> np.ndarray:
     """For the set's step of sizes and the next: an entry per stratum in use, a hash of step, stratum and its RUN
-    smallest values."""
+    smallest values; in the steps of small sets, one for each value of the prefix."""
     out, step = [], step_of(len(s), percent)
+    prefix = len(s) + percent * -len(s) // 100 + 1  # all but the values that a similar set must share, and one more
     for at in (step, step + 1):
+        if at <= step_of(SMALL, percent) + 1:
+            out.append(mix64(s[:prefix] ^ (np.array([at], np.uint64) * ODD[7])))
+            continue
         differ = (100 - percent) / percent * (100 / percent) ** (at + 1)  # at most, for sets that meet in this step
         strata = min(STRATA, int(differ) + 1)
-        stratum = (s % np.uint64(strata)).astype(np.int64)
-        order = np.argsort(stratum, kind="stable")
-        stratum, values = stratum[order], s[order]
-        place = np.arange(len(s)) - np.searchsorted(stratum, np.arange(strata))[stratum]
-        low = place < RUN
-        key = np.zeros(strata, np.uint64)
-        np.add.at(key, stratum[low], values[low] * ODD[place[low]])
-        used = np.unique(stratum)
-        out.append(mix64(key[used] ^ ((used + at * STRATA).astype(np.uint64) * ODD[6])))
+        for again, h in ((0, s), (1, mix64(s))):
+            stratum = (h % np.uint64(strata)).astype(np.int64)
+            order = np.argsort(stratum, kind="stable")
+            stratum, values = stratum[order], s[order]
+            place = np.arange(len(s)) - np.searchsorted(stratum, np.arange(strata))[stratum]
+            low = place < RUN
+            key = np.zeros(strata, np.uint64)
+            np.add.at(key, stratum[low], values[low] * ODD[place[low]])
+            used = np.unique(stratum)
+            out.append(mix64(key[used] ^ ((used + (2 * at + again) * STRATA).astype(np.uint64) * ODD[6])))
+            if len(used) == strata:
+                break
     return np.concatenate(out).view(np.int64)
 
 
