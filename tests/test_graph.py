@@ -176,6 +176,20 @@ def test_whole_part_graph(spark, sf_dir):
     assert all(len(set(r.path)) == len(r.path) and sum(near[a][b] for a, b in zip(r.path, r.path[1:])) == r.traversal_agg_cost for r in found)
 
 
+def test_loops_end_whole_or_raise(spark):
+    """No row is dropped at a number of rounds: loops run until none is left, exactly ``times``, or raise."""
+    t = friends(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e")]).traversal().V().has("name", "a")
+    hop = __.out("of").simple_path()
+    with pytest.raises(RuntimeError):
+        t.repeat(hop, until=__.not_(hop), most=2)
+    assert names(t.repeat(hop, until=__.not_(hop), most=4).path(by="name")) == ["a>b>c>d>e"]
+    assert names(t.repeat(hop, times=3, most=2).path(by="name")) == ["a>b>c>d"]
+    e = spark.createDataFrame([(k, k + 1, 1.0) for k in range(4)], "src long, dst long, cost double")
+    with pytest.raises(RuntimeError):
+        algorithms.ksp(e, 0, 4, 1, most=2)
+    assert algorithms.ksp(e, 0, 4, 2, most=4).first().path == [0, 1, 2, 3, 4]
+
+
 def test_files(spark, modern, tmp_path):
     io.write_graph(modern, str(tmp_path / "g"))
     back = io.read_graph(spark, str(tmp_path / "g"), {"person": "id", "software": "id"}, [("knows", "person", "person"), ("created", "person", "software")])

@@ -94,9 +94,9 @@ def driving_distance(edges: DataFrame, starts: DataFrame, distance: float, direc
     return out.select("start", "node", F.col("agg_cost").alias("traversal_agg_cost"), F.col("depth").alias("traversal_depth"), "pred", F.col("_p").isNull().alias("leaf"))
 
 
-def ksp(edges: DataFrame, start, end, k: int, directed=True, most=64) -> DataFrame:
+def ksp(edges: DataFrame, start, end, k: int, directed=True, most=10_000) -> DataFrame:
     """rank, path (array of nodes), traversal_agg_cost: the k shortest loopless paths of a pair. Loopless paths grow from
-    the start; those that cannot beat the k-th best complete one (by the exact distance to the end) are dropped."""
+    the start; those that cannot beat the k-th best complete one (by the exact distance to the end) are dropped. Paths left after ``most`` rounds are an error."""
     spark = edges.sparkSession
     a = cut(arcs(edges, directed))
     turned = a.select(F.col("v").alias("src"), F.col("u").alias("dst"), "cost")
@@ -118,5 +118,7 @@ def ksp(edges: DataFrame, start, end, k: int, directed=True, most=64) -> DataFra
         front = grown.where(F.element_at("path", -1) != end)
         if front.isEmpty():
             break
+    else:
+        raise RuntimeError(f"paths left after {most} rounds")
     rank = F.row_number().over(Window.orderBy("c", F.size("path"), "path"))  # k rows
     return done.select(rank.alias("rank"), "path", F.col("c").alias("traversal_agg_cost"))

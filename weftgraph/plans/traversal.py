@@ -664,9 +664,10 @@ class Traversal:
 
     # Repeat
 
-    def repeat(self, body: Steps, times=None, until: Steps | None = None, emit=None, until_first=False, emit_first=False, most=100, cut_every=4) -> Traversal:
+    def repeat(self, body: Steps, times=None, until: Steps | None = None, emit=None, until_first=False, emit_first=False, most=10_000, cut_every=4) -> Traversal:
         """do-while unless ``until_first``. ``emit``: True or a filter. Rows that dead-end without meeting ``until`` are
-        dropped. With ``until``, the frontier is written every ``cut_every`` rounds and its emptiness ends the loop.
+        dropped. With ``until``, the frontier is written every ``cut_every`` rounds and its emptiness ends the loop; rows
+        still on their way after ``most`` rounds are an error. ``times`` rounds are run whatever their number.
 
         With ``times`` alone and a body of plain hops, count, max and min of what follows go by merged rows: neither the
         plan nor the frontier grows with the number of paths."""
@@ -677,7 +678,7 @@ class Traversal:
             return Traversal(self.graph, lambda: self._repeated(body, times).branches, merged=lambda: self._bulk(body, times))
         return self._repeated(body, times, until, emit, until_first, emit_first, most, cut_every)
 
-    def _repeated(self, body, times, until=None, emit=None, until_first=False, emit_first=False, most=100, cut_every=4) -> Traversal:
+    def _repeated(self, body, times, until=None, emit=None, until_first=False, emit_first=False, most=10_000, cut_every=4) -> Traversal:
         out, now = [], [dataclasses.replace(b, loops=0) for b in self.branches]
         if times == 0:
             return self
@@ -693,7 +694,7 @@ class Traversal:
         def emitted(branches):
             return branches if emit is True else split(branches, emit)[0]
 
-        for depth in range(1, most + 1):
+        for depth in range(1, (most if times is None else times) + 1):
             if until is not None and until_first:
                 done, now = split(now, until)
                 out += done
@@ -714,6 +715,10 @@ class Traversal:
                 now = [b for b in now if not b.df.isEmpty()]
                 if not now:
                     break
+            elif depth % 16 == 0:
+                now = [dataclasses.replace(b, df=cut(b.df)) for b in now]
+        else:
+            raise RuntimeError(f"rows left after {most} rounds of a repeat")
         return self._new(out)
 
     def repeat_counted(self, body: Steps, times: int) -> DataFrame:
