@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm._shared import table
+from weftgraph.llm._shared import slices, table
 
 ORDERS = (1, 2, 3, 4)
 LETTER, PLAIN = regex.compile(r"\p{L}"), regex.compile(r"[\s\d]+")
@@ -62,7 +62,7 @@ def _features(bits: int, pieces: tuple[int, ...]):
     """For each sampled text: the whole of it, and windows of its words of a few lengths."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b, 100)):
             rows = []
             for key, text, lang in zip(*(batch.column(k).to_pylist() for k in ("_id", "_text", "_lang")), strict=True):
                 words = text.split()
@@ -96,15 +96,18 @@ class Sparse:
         return np.concatenate([p[0] for p in parts]).astype(np.int64), np.concatenate([p[1] for p in parts]), start
 
 
-def train(rows, labels: np.ndarray, languages: list[str], bits: int, dim=16, epochs=20, rate=2.0, size=32, reject=0.0005, most_threshold=0.4, seed=7) -> Model:
-    """Stochastic gradient descent on 4 of 5 texts; temperature and threshold on the fifth."""
+def train(rows, labels: np.ndarray, languages: list[str], bits: int, texts: np.ndarray | None = None, dim=16, epochs=20, rate=2.0, size=32, reject=0.0005, most_threshold=0.4, seed=7) -> Model:
+    """Stochastic gradient descent on 4 of 5 texts; temperature and threshold on the fifth. ``texts``: the text that each
+    row is of or a window of, so that no text is in both parts."""
     rng = np.random.default_rng(seed)
     table_, n_lang = Sparse(rows), len(languages)
     emb = (rng.standard_normal((1 << bits, dim)) / dim).astype(np.float32)
     out, bias = np.zeros((dim, n_lang), np.float32), np.zeros(n_lang, np.float32)
-    order = rng.permutation(len(rows))
-    kept = order[: max(1, len(rows) // 5)] if len(rows) >= 10 else order
-    learn = order[len(kept) :] if len(rows) >= 10 else order
+    texts = np.arange(len(rows)) if texts is None else np.unique(texts, return_inverse=True)[1]
+    n_texts, order = int(texts.max()) + 1, rng.permutation(len(rows))
+    place = rng.permutation(n_texts)[texts[order]]
+    kept = order[place < n_texts // 5] if n_texts >= 10 else order
+    learn = order[place >= n_texts // 5] if n_texts >= 10 else order
     weight = 1 / np.maximum(1, np.bincount(labels[learn], minlength=n_lang))
     weight = (weight / weight[labels[learn]].mean()).astype(np.float32)
 
@@ -115,7 +118,7 @@ def train(rows, labels: np.ndarray, languages: list[str], bits: int, dim=16, epo
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for s in range(0, len(learn), size):
-            which = rng.permutation(learn)[:size] if s == 0 else learn[s : s + size]
+            which = learn[s : s + size]
             used, share, start, h = hidden(which)
             grad = _softmax(h @ out + bias)
             grad[np.arange(len(which)), labels[which]] -= 1
@@ -157,8 +160,9 @@ def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per_
     data = [(np.frombuffer(u.as_py(), kind), np.frombuffer(s.as_py(), np.float32)) for u, s in zip(found.column("used"), found.column("share"), strict=True)]
     seen = sorted(set(found.column("lang").to_pylist()))
     labels = np.array([seen.index(x) for x in found.column("lang").to_pylist()])
+    keys = found.column("key").to_numpy()
     del found, sample
-    return train(data, labels, seen, bits)
+    return train(data, labels, seen, bits, keys)
 
 
 def _predict(shipped, bits):
@@ -196,7 +200,7 @@ def _predict(shipped, bits):
                 n += np.maximum(0, lengths - order + 1)
             return total, n
 
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b)):
             texts = batch.column("_text").to_pylist()
             picked, found = np.zeros(len(texts), np.int64) - 1, np.zeros(len(texts))
             group, held = [], 0

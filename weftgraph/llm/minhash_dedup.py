@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm._shared import components, cut, deal_tiles, roots, table
+from weftgraph.llm._shared import components, cut, deal_tiles, roots, slices, table
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 STRATA, RUN, SMALL = 40, 5, 30
@@ -43,7 +43,7 @@ def mix64(h: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Hashes of words met so far; emptied when it holds ``most`` words."""
 
-    def __init__(self, most=1 << 18):
+    def __init__(self, most=1 << 15):
         super().__init__()
         self.most = most
 
@@ -105,7 +105,7 @@ def entries(s: np.ndarray, percent: int) -> np.ndarray:
 def _sketches(size, percent):
     def run(batches):
         hashes = WordHashes()
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b)):
             n, key, lists = [], [], []
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), hashes, size)
@@ -120,7 +120,7 @@ def _sketches(size, percent):
 def _sets(size):
     def run(batches):
         hashes = WordHashes()
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b)):
             sets = pa.array([shingle_set(t.as_py(), hashes, size).tobytes() for t in batch.column("_text")], pa.binary())
             keep = [k for k in batch.schema.names if k != "_text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), sets], names=[*keep, "_values"])
@@ -167,6 +167,11 @@ def similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent
     return maybe, size
 
 
+def blocks(sizes: list[int], most=1 << 19) -> np.ndarray:
+    """Numbers of blocks of consecutive sets, none with more than about ``most`` values."""
+    return (np.cumsum(sizes) - 1) // most
+
+
 def links(sets, left, right, same: bool, percent: int, k=128):
     maybe, size = similar(sets, left, right, percent, k)
     if same:
@@ -177,9 +182,12 @@ def links(sets, left, right, same: bool, percent: int, k=128):
     if len(i) <= 512:
         inter = np.array([len(np.intersect1d(sets[left[a]], sets[right[b]], assume_unique=True)) for a, b in zip(i, j, strict=True)])
     else:
-        ui, uj = np.unique(i), np.unique(j)
-        full = overlaps(sets, left[ui], right[uj])
-        inter = full[np.searchsorted(ui, i), np.searchsorted(uj, j)]
+        inter = np.zeros(len(i), np.int64)
+        of_i, of_j = (block[np.searchsorted(u, k)] for u, block, k in ((u, blocks([len(sets[side[x]]) for x in u]), k) for u, side, k in ((np.unique(i), left, i), (np.unique(j), right, j))))
+        for code in np.unique(of_i * (1 << 20) + of_j):
+            at = np.nonzero((of_i == code >> 20) & (of_j == code & ((1 << 20) - 1)))[0]
+            ui, uj = np.unique(i[at]), np.unique(j[at])
+            inter[at] = overlaps(sets, left[ui], right[uj])[np.searchsorted(ui, i[at]), np.searchsorted(uj, j[at])]
     a, b = left[i], right[j]
     ok = 100 * inter >= percent * (size[a] + size[b] - inter)
     return a[ok], b[ok]
