@@ -358,52 +358,122 @@ def test_lm(spark, sf_dir):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_lm_probabilities_sum_to_one(spark):
-    rng = random.Random(4)
-    pool = [f"w{k}" for k in range(40)]
-    texts = spark.createDataFrame([(bytearray(words(rng, 50, pool[: rng.randrange(2, 40)]), "utf-8"),) for _ in range(60)], "text binary")
-    model, other = lm_score.fit(texts, lexicon=16, contexts=5)
-    assert np.allclose((10.0 ** model.log_prob.astype(float)).sum(axis=1), 1, atol=1e-4) and model.log_prob.shape == (5, 17)
-    shares = sum(10 ** model.other[r.c] for r in other.collect()) + 10 ** model.other[0]
-    assert abs(shares - 1) < 0.02 and other.count() == model.distinct - 16
-
-
-def test_lm_rare_end(spark):
-    """The end of a text is known, with its own count, where every word of the lexicon is more frequent."""
-    texts = spark.createDataFrame([(bytearray(b"a b c d " * 5),), (bytearray(b"a b c d e"),)], "text binary")
-    model, other = lm_score.fit(texts, lexicon=3, contexts=2)
-    assert model.words == [b"", b"a", b"b"] and model.distinct == 6 and model.train_tokens == 27
-    docs_ = spark.createDataFrame([(1, "a e zz")], "doc_id long, text string")
-    r = lm_score.score(docs_, model, other, lm_score.F.lit(True)).first()
-    base = sum(math.log10((n + 0.1) / (27 + 0.1 * 7)) for n in (6, 1, 0, 2))
-    assert (r.n_tokens, r.n_known) == (4, 3) and math.isclose(r.base_score, base, rel_tol=1e-9)
-
-
-def test_seating():
-    rng = np.random.default_rng(0)
-    c = np.full(4000, 200)
-    t = lm_score.seat(c, np.full(4000, 2.0), 0.5, rng)
-    one = []
-    for _ in range(400):
-        k = 1
-        for n in range(1, 200):
-            k += rng.random() < 2.0 / (2.0 + n - 0.5 * k)
-        one.append(k)
-    assert abs(t.mean() - np.mean(one)) < 0.5 and (t >= 1).all() and (t <= c).all()
+def _tables_exactly(n, a, d):
+    """Mean number of tables of n customers whose new tables weigh a and whose others weigh their size less d."""
+
+    def parts(n, most):
+        if not n:
+            yield []
+        for k in range(min(n, most), 0, -1):
+            for rest in parts(n - k, k):
+                yield [k, *rest]
+
+    total = mean = 0.0
+    for p in parts(n, n):
+        ways = math.factorial(n) / math.prod(math.factorial(k) for k in p) / math.prod(math.factorial(k) for k in Counter(p).values())
+        w = ways * a ** len(p) * math.prod(math.gamma(k - d) / math.gamma(1 - d) for k in p)
+        total, mean = total + w, mean + w * len(p)
+    return mean / total
+
+
+def test_gibbs_seating():
+    rng, m = np.random.default_rng(0), 20_000
+    for n, a, d in ((2, 0.7, 0.4), (3, 0.2, 0.8), (6, 1.5, 0.3)):
+        t, sizes = lm_score.gibbs(np.full(m, n), np.full(m, a), d, rng, passes=4)
+        t, sizes = lm_score.gibbs(np.full(m, n), np.full(m, a), d, rng, t, sizes, passes=4)
+        assert abs(t.mean() - _tables_exactly(n, a, d)) < 0.03 and len(sizes) == t.sum() and (np.add.reduceat(sizes, np.cumsum(t) - t) == n).all()
+    c = np.array([1, 5000, 3, 40])
+    t, sizes = lm_score.seated(c, np.full(4, 1.0), 0.5, rng)
+    assert (t >= 1).all() and (t <= c).all() and len(sizes) == t.sum() - t[1] and sizes.sum() == 44
+    for x in ([0, 5, 300, 70000], [], [2**62 + 5, 1]):
+        assert lm_score.unpack(lm_score.pack(np.array(x, np.int64), np.array([1])))[0].tolist() == x
+
+
+def _plain_model(texts, d, a, d0, a0, rounds, rng):
+    """Mean predictive probabilities by one-at-a-time Gibbs over all customers in turn, totals always up to date."""
+    seqs = [["", *t.split(), ""] for t in texts]
+    moves = [(u, w) for s in seqs for u, w in zip(s, s[1:], strict=False)]
+    words_ = sorted({w for _, w in moves})
+    base, rest, parent, seat_of, parent_of = 1 / (len(words_) + 1), {}, {w: [] for w in words_}, [], {}
+    size = Counter(u for u, _ in moves)
+
+    def prob_parent(w):
+        n, t = sum(map(sum, parent.values())), sum(map(len, parent.values()))
+        return (sum(parent[w]) - d0 * len(parent[w]) + (a0 + d0 * t) * base) / (a0 + n)
+
+    def choose(tables, d_, new):
+        weights = [x - d_ if x else 0 for x in tables] + [new]
+        return rng.choices(range(len(weights)), weights)[0]
+
+    def sit(tables, k):
+        if k == len(tables):
+            tables.append(0)
+        tables[k] += 1
+        return k
 
+    def open_(u):
+        return sum(1 for (v, _), tables in rest.items() if v == u for x in tables if x)
+
+    def arrive(u, w):
+        tables = rest.setdefault((u, w), [])
+        k = choose(tables, d, (a + d * open_(u)) * prob_parent(w))
+        new = k == len(tables) or not tables[k]
+        sit(tables, k)
+        if new:
+            at = parent[w]
+            total = sum(1 for x in parent.values() for y in x if y)
+            at_k = choose(at, d0, (a0 + d0 * total) * base)
+            if at_k == len(at):
+                at.append(0)
+            at[at_k] += 1
+        return k
 
-def test_lm_odd(odd, none):
+    def leave(u, w, k):
+        tables = rest[u, w]
+        tables[k] -= 1
+        if not tables[k]:
+            tables.pop(k)
+            at = parent[w]
+            j = rng.choices(range(len(at)), at)[0]
+            at[j] -= 1
+            if not at[j]:
+                at.pop(j)
+
+    for u, w in moves:
+        arrive(u, w)
+    mean = {}
+    for r in range(rounds):
+        for u, w in moves:
+            tables = rest[u, w]
+            leave(u, w, rng.choices(range(len(tables)), tables)[0])
+            arrive(u, w)
+        if r >= rounds // 4:
+            for u in size:
+                for w in words_:
+                    tables = rest.get((u, w), [])
+                    p = (sum(tables) - d * len(tables) + (a + d * open_(u)) * prob_parent(w)) / (a + size[u])
+                    mean[u, w] = mean.get((u, w), 0) + p / (rounds - rounds // 4)
+    return mean
+
+
+def test_lm_as_plain_gibbs(spark):
+    """Mean probabilities are those of a plain sampler that moves one customer at a time through the whole hierarchy."""
     from pyspark.sql import functions as F
 
-    model, other = lm_score.fit(odd.select(F.col("text").cast("binary").alias("text")))
-    got = lm_score.score(odd, model, other, lm_score.fold(F.col("doc_id"))).collect()
-    assert len(got) == odd.count() and {r.n_tokens for r in got if r.doc_id in (1, 2, 3)} == {1} and all(r.score < 0 for r in got)
-    model, other = lm_score.fit(none.select(F.col("text").cast("binary").alias("text")))
-    assert lm_score.score(odd, model, other, F.lit(True)).count() == odd.count() and lm_score.score(none, model, other, F.lit(True)).count() == 0
+    rng = random.Random(5)
+    pool = "a a a a b b b c c d e f".split()
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randrange(1, 14))) for _ in range(14)]
+    want = _plain_model(texts, 0.6, 1.0, 0.4, 2.0, 400, rng)
+    ask = sorted({(u, w) for u, w in want if u and w})
+    rows = [(k, t) for k, t in enumerate(texts)] + [(1000 + k, f"{u} {w}") for k, (u, w) in enumerate(ask)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: 10**r.score for r in lm_score.score_whole(d, F.col("doc_id") >= 1000, burn=20, keep=120, fixed=(0.6, 1.0, 0.4, 2.0)).collect()}
+    off = [abs(math.log(got[1000 + k] / (want["", u] * want[u, w] * want[w, ""]))) for k, (u, w) in enumerate(ask)]
+    assert np.mean(off) < 0.08 and max(off) < 0.4
 
 
 def test_lm_whole_contexts(spark):
-    """Rare preceding words are contexts of their own, whatever the lexicon; probabilities after each sum to one."""
+    """Rare preceding words are contexts of their own, whatever the lexicon and the number of chunks and buckets."""
     from pyspark.sql import functions as F
 
     rng = random.Random(7)
@@ -411,20 +481,19 @@ def test_lm_whole_contexts(spark):
     rows = [(k, " ".join(" ".join(rng.choice(pairs)) for _ in range(40))) for k in range(100)] + [(100, "a5 b5 " * 20), (101, "a5 b6 " * 20), (102, "zz a5 new"), (None, None)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     held = F.coalesce(F.col("doc_id") >= 100, F.lit(False))
-    for lexicon in ([], [b"", b"a5", b"b5", b"b6"]):
-        got = {r.doc_id: r for r in lm_score.score_whole(d, held, words=lexicon).collect()}
+    for lexicon, bounds in (([], {}), (["a5", "b5", "b6"], {"chunk_tokens": 500, "bucket_tokens": 1000}), (None, {"chunk_tokens": 300, "bucket_tokens": 700})):
+        lexicon = lexicon if lexicon is None else [w.encode() for w in lexicon]
+        got = {r.doc_id: r for r in lm_score.score_whole(d, held, words=lexicon, **bounds).collect()}
         assert len(got) == 104 and got[100].score > got[101].score + 20 and got[None].n_tokens == 1 and got[102].n_known == 2
         assert got[100].held_out and got[100].train_tokens == 100 * 81 + 1
-    texts = d.where("doc_id < 100").select(F.lit(False).alias("_fold"), F.col("text").cast("binary").alias("_text"))
-    every = sorted({w for _, t in rows[:100] for w in t.split()})
-    asked = spark.createDataFrame([(True, bytearray(f"{u} {w}".encode())) for u in ("a5", "b7") for w in [*every, "unseen"]] + [(True, bytearray(u.encode())) for u in (b"a5".decode(), "b7")], "_fold boolean, _text binary")
-    words_ = [b"", *(w.encode() for w in every), b"unseen"]
-    priced, _, _ = lm_score.priced_pairs(texts.unionByName(asked), words_)
-    sums = Counter()
-    for r in priced.collect():
-        sums[r.u] += r.prob
-    assert abs(sums[words_.index(b"a5")] - 1) < 1e-6 and abs(sums[words_.index(b"b7")] - 1) < 1e-6
-    assert lm_score.score_whole(d.where("false"), held).count() == 0
+    assert lm_score.score_whole(d.where("false"), held).count() == 0 and lm_score.score_whole(d, F.lit(True)).count() == 104
+
+
+def test_lm_odd(odd, none):
+    got = lm_score.score_whole(odd, lm_score.fold(odd["doc_id"])).collect()
+    assert len(got) == odd.count() and {r.n_tokens for r in got if r.doc_id in (1, 2, 3)} == {1} and all(r.score < 0 for r in got)
+    assert sorted((r.n_tokens, r.base_score) for r in got if r.doc_id == 5)[0] == sorted((r.n_tokens, r.base_score) for r in got if r.doc_id == 5)[1]
+    assert lm_score.score_whole(none, lm_score.fold(none["doc_id"])).count() == 0
 
 
 # Pipeline
