@@ -1,8 +1,8 @@
 """URL filter: a blocked Bloom filter over listed canonical URLs, an exact join behind it, and host and path rules.
 
-The filter has blocks of four 64-bit words; a URL sets one bit in each word of its block. The number of blocks is bounded
-(``max_blocks``, 40 bytes each), so the filter may be broadcast whatever the list's size: a list beyond the bound only
-lets more false positives through, which the exact hash join on the URL then removes.
+The filter has blocks of four 64-bit words; a URL sets one bit in each word of its block. There is a block for every dozen
+listed URLs: up to ``max_blocks`` (40 bytes each) they are broadcast, a larger filter is joined on the block number. Only
+rows that pass the filter enter the exact hash join on the URL, which removes false positives; all others go past it.
 """
 
 from __future__ import annotations
@@ -61,24 +61,23 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES, id_col="page_id", ur
 
     The verdict is the longest fitting rule's; without one, block if the canonical URL is in ``listed`` (url: canonical
     URLs; nulls and repeats do no harm), else allow. Null URLs and URLs without ``://`` have empty host and path and
-    are never listed. Repeated rows are judged each. At most ``max_blocks`` x 40 bytes are broadcast.
+    are never listed. Repeated rows are judged each; a very long URL is matched whole; an empty table gives no rows and
+    an empty list lists nothing. At most ``max_blocks`` x 40 bytes are broadcast.
     """
     known = listed.select("url").where("url is not null and url <> ''").distinct()
-    n = known.count()
-    blocks = max(1, min(max_blocks, 1 << max(0, (n // 12)).bit_length()))
+    blocks = 1 << max(0, known.count() // 12).bit_length()
     u = F.col(url_col)
     rows = pages.select(F.col(id_col), host_of(u).alias("host"), path_of(u).alias("path"), F.when(F.contains(u, F.lit("://")), canonical(u)).alias("_url"))
-    rows = rows.select("*", *_place(F.col("_url"), blocks)).join(F.broadcast(bloom(known, blocks)), "block", "left")
+    bits = bloom(known, blocks)
+    rows = rows.select("*", *_place(F.col("_url"), blocks)).join(F.broadcast(bits) if blocks <= max_blocks else bits, "block", "left")
     maybe = F.col("_url").isNotNull() & F.col("b0").isNotNull()
     for i in range(4):
         maybe &= F.col(f"b{i}").bitwiseAND(F.col(f"w{i}")) == F.col(f"w{i}")
-    # Only possible hits carry a key into the join; the others get keys of their own, so that nulls don't meet in one task.
-    key = F.when(maybe, F.col("_url")).otherwise(F.concat(F.lit("\x00"), F.xxhash64(F.col(id_col), F.col("_url")).cast("string")))
-    rows = rows.select(id_col, "host", "path", F.coalesce(key, F.lit("\x00")).alias("_key"))
-    rows = rows.join(known.select(F.col("url").alias("_key"), F.lit(True).alias("_hit")), "_key", "left")
+    rows = rows.select(id_col, "host", "path", "_url", F.coalesce(maybe, F.lit(False)).alias("_maybe"))
+    hits = rows.where("_maybe").join(known.select(F.col("url").alias("_url"), F.lit(True).alias("_hit")), "_url", "left")
+    rows = hits.select(id_col, "host", "path", F.coalesce("_hit", F.lit(False)).alias("listed")).unionByName(rows.where("not _maybe").select(id_col, "host", "path", F.lit(False).alias("listed")))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    hit = F.coalesce("_hit", F.lit(False))
-    return rows.select(id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(hit, "block").otherwise("allow")).alias("verdict"), hit.alias("listed"))
+    return rows.select(id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")
 
 
 def reported(pages: DataFrame) -> DataFrame:
