@@ -5,20 +5,24 @@ vector is split into blocks, and each block gets a share of the budget in propor
 the budget is within the share of at least one block, so joining each block by range and checking the union of
 candidates exactly loses nothing.
 
-A block's range join runs on cells of its first coordinate, as wide as the block's radius: partners are in the same or
-the next cell. Cells are split into tiles of bounded size and each task compares two tiles, so that a hot cell becomes
-many equal tasks. A pair is handled in its first block only (tasks hold whole vectors and can tell), hence pairs are
-neither emitted nor shuffled: a task returns link counts and the components that it saw.
+A block's range join runs on cells over its first coordinates, as wide as the block's radius: a vector is at home in one
+cell and visits those of the forward neighbours (half of all; the other half visit it) that its ball reaches. The number
+of coordinates grows with the label's vectors, so that cells stay near the size of a task. Cells that are larger are split
+into tiles of bounded size and each task compares two tiles, so that a hot cell becomes many equal tasks. A pair is handled
+in its first block only (tasks hold whole vectors and can tell), hence pairs are neither emitted nor shuffled: a task
+returns link counts and the components that it saw.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm._shared import components, cut, deal_tiles, roots, table
+from weftgraph.llm._shared import components, cut, roots, slices, table
 
 SLACK = 1e-9
 
@@ -75,50 +79,102 @@ def tile_links(left, right, same: bool, block: int, shares, threshold: float, ma
     return (np.concatenate(keep_i), np.concatenate(keep_j)) if keep_i else (i, j)
 
 
-def _cells(shares_of):
+def coordinates(n: int, tile: int, dims: int) -> int:
+    """Over how many coordinates cells go: one more for each time that the label's vectors outgrow a tile by half again."""
+    return int(np.clip(1 + np.floor(np.log(max(1.0, n / tile)) / np.log(1.5)), 1, min(4, dims)))
+
+
+def cells_of(x: np.ndarray, width: float):
+    """(rows, cells, visit) of vectors ``x`` (coordinates only): the home of each, and the forward neighbours in its reach."""
+    home = np.floor(x / width).astype(np.int64)
+    low, high = x - home * width, (home + 1) * width - x
+    rows, cells, visit = [np.arange(len(x))], [home], [np.zeros(len(x), np.int32)]
+    for step in itertools.product((-1, 0, 1), repeat=x.shape[1]):
+        if step <= (0,) * len(step):
+            continue
+        gap = sum(((high if k > 0 else low)[:, i] ** 2 for i, k in enumerate(step) if k), np.zeros(len(x)))
+        near = np.nonzero(gap <= width * width)[0]
+        rows.append(near)
+        cells.append(home[near] + np.array(step))
+        visit.append(np.ones(len(near), np.int32))
+    return np.concatenate(rows), np.concatenate(cells), np.concatenate(visit)
+
+
+def _cells(shares_of, tile):
     def run(batches):
-        for batch in batches:
-            ids, label, vectors = batch.column("rep"), batch.column("_label"), batch.column("_vec")
+        for batch in (x for b in batches for x in slices(b, 2000)):
+            vectors, total = batch.column("_vec"), batch.column("total").to_numpy()
             lengths = np.array([len(v) for v in vectors])
-            out = {k: [] for k in ("row", "dim", "block", "cell")}
-            for dim in np.unique(lengths):
-                rows = np.nonzero(lengths == dim)[0]
-                matrix, shares = shares_of(int(dim))
-                for s in range(0, len(rows), 4096):
-                    part = rows[s : s + 4096]
+            out = {k: [] for k in ("row", "dim", "block", "cell", "visit")}
+            for dim in np.unique(lengths).tolist():
+                matrix, shares = shares_of(dim)
+                for m in range(1, 5):
+                    part = np.nonzero((lengths == dim) & (np.array([coordinates(n, tile, shares[0][1]) for n in total.tolist()]) == m))[0]
+                    if not len(part):
+                        continue
                     x = rotate(unit(np.array([vectors[int(r)].as_py() for r in part], dtype=float)), matrix)
-                    for k, (a, _, share) in enumerate(shares):
-                        out["row"].append(part)
-                        out["dim"].append(np.full(len(part), dim))
-                        out["block"].append(np.full(len(part), k))
-                        out["cell"].append(np.floor(x[:, a] / (np.sqrt(share) * (1 + SLACK))).astype(np.int64))
+                    for k, (a, b, share) in enumerate(shares):
+                        rows, cells, visit = cells_of(x[:, a : min(a + m, b)], np.sqrt(share) * (1 + SLACK))
+                        out["row"].append(part[rows])
+                        out["dim"].append(np.full(len(rows), dim))
+                        out["block"].append(np.full(len(rows), k))
+                        out["cell"] += [",".join(map(str, c)) for c in cells.tolist()]
+                        out["visit"].append(visit)
             if not out["row"]:
                 continue
             row = pa.array(np.concatenate(out["row"]))
-            cols = [ids.take(row), label.take(row), *(pa.array(np.concatenate(out[k]).astype(np.int32)) for k in ("dim", "block", "cell")), vectors.take(row), batch.column("n").take(row)]
-            yield pa.RecordBatch.from_arrays(cols, names=["rep", "_label", "dim", "block", "cell", "_vec", "n"])
+            cols = [batch.column("rep").take(row), batch.column("_label").take(row), *(pa.array(np.concatenate(out[k]).astype(np.int32)) for k in ("dim", "block")), pa.array(out["cell"]), pa.array(np.concatenate(out["visit"])), vectors.take(row), batch.column("n").take(row)]
+            yield pa.RecordBatch.from_arrays(cols, names=["rep", "_label", "dim", "block", "cell", "visit", "_vec", "n"])
 
     return run
 
 
+def deal(rows: DataFrame, keys: list[str], tile: int) -> DataFrame:
+    """Deals home and visiting rows of a cell (``keys``) out to tasks (keys, i, j, v): home tiles i <= j of a cell meet in a
+    task with v = -1, a home tile i and a visitors' tile v in one with j = -1, and all of a cell that is one tile of each
+    in one with i = j = v = 0. ``role``: 0 home as i, 1 home as j, 2 visitor."""
+    tiles = lambda c: F.ceil(F.sum(c) / tile).cast("int")
+    counts = rows.groupBy(*keys).agg(tiles(1 - F.col("visit")).alias("_h"), tiles(F.col("visit")).alias("_v"))
+    counts = counts.where("_h > 0")
+    rows = rows.join(counts, keys)
+    own = F.pmod(F.xxhash64("rep"), F.when(F.col("visit") == 0, F.col("_h")).otherwise(F.col("_v"))).cast("int")
+    rows = rows.withColumn("_own", own)
+
+    def each(n: Column, task) -> Column:
+        return F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), task)
+
+    def to(i: Column, j: Column, v: Column, role) -> Column:
+        return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), v.cast("int").alias("v"), F.lit(role).cast("int").alias("role"))
+
+    zero, none, mine = F.lit(0), F.lit(-1), F.col("_own")
+    one = F.array(to(zero, zero, zero, F.when(F.col("visit") == 0, 0).otherwise(2)))
+    home = F.concat(
+        each(F.col("_h"), lambda k: to(F.least(mine, k), F.greatest(mine, k), none, F.when(mine <= k, 0).otherwise(1))),
+        each(F.col("_v"), lambda k: to(mine, none, k, 0)),
+    )
+    visitor = each(F.col("_h"), lambda k: to(k, none, mine, 2))
+    tasks = F.when((F.col("_h") == 1) & (F.col("_v") <= 1), one).when(F.col("visit") == 0, home).otherwise(visitor)
+    dealt = rows.withColumn("_g", F.explode(tasks)).drop("_h", "_v", "_own", "visit")
+    return dealt.select("*", "_g.i", "_g.j", "_g.v", "_g.role").drop("_g")
+
+
 def _compare(shares_of, threshold):
     def run(key, group):
-        dim, block = key[1].as_py(), key[2].as_py()
+        dim, block, tile_i, tile_j, tile_v = (k.as_py() for k in (key[1], key[2], *key[4:]))
         matrix, shares = shares_of(dim)
         order = group.sort_by("rep")
-        side = order.column("side").to_numpy()
+        role = order.column("role").to_numpy()
         vec = order.column("_vec").combine_chunks()
-        x = vec.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(side), dim)
+        x = vec.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(role), dim)
         rep, n = order.column("rep").to_numpy(), order.column("n").to_numpy()
-        home, other = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
+        sides = [np.nonzero(role == k)[0] for k in range(3)]
+        meet = [(0, 0)] if tile_i == tile_j else [(0, 1)] if tile_v < 0 else []
+        meet += [(0, 2)] if tile_v >= 0 else []
         found = []
-        cross = key[5].as_py() != key[6].as_py() or key[4].as_py()  # two different tiles: no pairs inside either
-        if not cross:
-            i, j = tile_links(x[home], x[home], True, block, shares, threshold, matrix)
-            found.append((home[i], home[j]))
-        if len(other) and len(home):
-            i, j = tile_links(x[home], x[other], False, block, shares, threshold, matrix)
-            found.append((home[i], other[j]))
+        for p, q in meet:
+            if len(sides[p]) and len(sides[q]):
+                i, j = tile_links(x[sides[p]], x[sides[q]], p == q, block, shares, threshold, matrix)
+                found.append((sides[p][i], sides[q][j]))
         i, j = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.empty(0, int), np.empty(0, int))
         links = np.bincount(i, weights=n[j], minlength=len(rep)) + np.bincount(j, weights=n[i], minlength=len(rep))
         hit = np.nonzero(links)[0]
@@ -128,12 +184,13 @@ def _compare(shares_of, threshold):
     return run
 
 
-def near_duplicates(vectors: DataFrame, id_col="vec_id", vec_col="embedding", label_col="label", threshold=0.93, blocks=8, tile=512) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col="vec_id", vec_col="embedding", label_col="label", threshold=0.93, blocks=8, tile=1024) -> DataFrame:
     """id, n_links, component_id, kept of every row, comparing rows of equal non-null labels and equal dimension.
 
     Vectors that are null, empty, zero or hold null or non-finite components, rows with null label and rows with null
     id link with nothing; their component is their id. Equal vectors are compared once, with their number, and count as
-    links of each other; rows that repeat an id count as vectors of their own. Only the three named columns are read.
+    links of each other; rows that repeat an id count as vectors of their own. Only the three named columns are read. An
+    empty table gives no rows.
     """
     v = vectors.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label"), F.col(vec_col).alias("_vec"))
     ok = F.col("_id").isNotNull() & F.col("_label").isNotNull() & F.col("_vec").isNotNull()
@@ -149,9 +206,11 @@ def near_duplicates(vectors: DataFrame, id_col="vec_id", vec_col="embedding", la
         return known[dim]
 
     label, vec = reps.schema["_label"].dataType.simpleString(), reps.schema["_vec"].dataType.simpleString()
-    home = reps.mapInArrow(_cells(shares_of), f"rep long, _label {label}, dim int, block int, cell int, _vec {vec}, n long")
-    dealt = deal_tiles(home, ["_label", "dim", "block"], "cell", "rep", tile)
-    found = dealt.groupBy("_label", "dim", "block", "cell", "kind", "i", "j").applyInArrow(_compare(shares_of, threshold), "a long, b long, links long")
+    sizes = reps.groupBy("_label").agg(F.count("*").alias("total"))
+    sized = reps.join(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes, "_label")
+    home = sized.mapInArrow(_cells(shares_of, tile), f"rep long, _label {label}, dim int, block int, cell string, visit int, _vec {vec}, n long")
+    dealt = deal(home, ["_label", "dim", "block", "cell"], tile)
+    found = dealt.groupBy("_label", "dim", "block", "cell", "i", "j", "v").applyInArrow(_compare(shares_of, threshold), "a long, b long, links long")
     found = cut(found, "embed-links")
     groups = components(found.select("a", "b"))
     links = found.groupBy("a").agg(F.sum("links").alias("links"))
