@@ -1,15 +1,17 @@
 """Graph algorithms as DataFrame loops: components, degree, shortest paths, driving distance, k shortest paths.
 
 Edge frames have src, dst, cost and optionally reverse_cost and id; a negative cost means that the edge is absent in
-that direction. Only counts reach the driver; frontiers are checkpointed, so that a lost executor costs one round.
+that direction. Only counts reach the driver; frontiers are written, so that a lost executor costs one round.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.plans.storage import cut
+from weftgraph.plans.storage import cut, forget
 
 
 def arcs(edges: DataFrame, directed=True) -> DataFrame:
@@ -32,30 +34,50 @@ def degree(vertices: DataFrame, edges: DataFrame, direction="both") -> DataFrame
     return vertices.select("id").join(n, F.col("id") == F.col("_e"), "left").select("id", F.coalesce("n", F.lit(0)).alias("degree"))
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, component of every vertex: the smallest id that it reaches, direction aside. Large-star and small-star rounds."""
-    e = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
-    seen = None
-    while (now := e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()) != seen and now[0]:
+def components(edges: DataFrame) -> DataFrame:
+    """node, component of every node of ``edges`` (a, b); component is the smallest reachable node.
+
+    Alternating large-star and small-star rounds (Kiveris et al., 2014): each round replaces the edges by edges to
+    smaller nodes, at most as many as before. Only counts and a checksum reach the driver. Minima are combined
+    before the shuffle and written, so that the join to them has a shuffle of its own on both sides, whose hot nodes
+    adaptive execution can split.
+    """
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    e, seen = cut(e, "cc"), None
+    while True:
+        now = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(cast(xxhash64(v) as decimal(38,0)))")).first()
+        if now == seen or not now[0]:
+            break
         seen = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(small, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(moved.unionByName(small.withColumnRenamed("m", "v")).distinct())
-    return vertices.select("id").join(e, F.col("id") == F.col("u"), "left").select("id", F.coalesce("v", "id").alias("component"))
+        last, e = e, cut(moved.unionByName(small.withColumnRenamed("m", "v")).distinct(), "cc")
+        forget(last)
+        forget(least)
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+        e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    )
+
+
+def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, component of every vertex: the smallest id that it reaches, direction aside."""
+    found = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return vertices.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def shortest(edges: DataFrame, starts: DataFrame, directed=True, limit=None, most=1000) -> DataFrame:
+def shortest(edges: DataFrame, starts: DataFrame, directed=True, limit=None, most=100_000) -> DataFrame:
     """start, node, agg_cost, depth, pred, edge, cost: a shortest-path tree for each start (column id), by relaxing the
     arcs out of the nodes that improved in the round before. ``limit`` bounds the aggregate cost. Of equal costs the
-    smallest predecessor wins."""
-    a = cut(arcs(edges, directed).groupBy("u", "v").agg(F.min(F.struct("cost", "edge")).alias("m")).select("u", "v", "m.cost", "m.edge"))
+    fewest edges win, then the smallest predecessor. The loop ends with the first round in which nothing improves, after as
+    many rounds as the longest of these paths has edges; more than ``most`` are an error."""
+    a = cut(arcs(edges, directed).groupBy("u", "v").agg(F.min(F.struct("cost", "edge")).alias("m")).select("u", "v", "m.cost", "m.edge"), "arcs")
     none = F.lit(None)
     best = starts.select(F.col("id").alias("start"), F.col("id").alias("node")).distinct()
     kinds = dict(a.dtypes)
-    best = cut(best.select("start", "node", F.lit(0.0).alias("agg_cost"), F.lit(0).alias("depth"), none.cast(kinds["u"]).alias("pred"), none.cast(a.schema["edge"].dataType).alias("edge"), F.lit(0.0).alias("cost")))
+    best = cut(best.select("start", "node", F.lit(0.0).alias("agg_cost"), F.lit(0).alias("depth"), none.cast(kinds["u"]).alias("pred"), none.cast(a.schema["edge"].dataType).alias("edge"), F.lit(0.0).alias("cost")), "best")
     front = best
     for _ in range(most):
         step = front.select("start", F.col("node").alias("u"), F.col("agg_cost").alias("a"), F.col("depth").alias("d")).join(a, "u")
@@ -63,26 +85,34 @@ def shortest(edges: DataFrame, starts: DataFrame, directed=True, limit=None, mos
         step = step if limit is None else step.where(F.col("agg_cost") <= limit)
         step = step.groupBy("start", "node").agg(F.min(F.struct("agg_cost", "depth", "pred", "edge", "cost")).alias("m")).select("start", "node", "m.*")
         known = best.select("start", "node", F.struct("agg_cost", "depth", "pred").alias("old"))
-        front = step.join(known, ["start", "node"], "left").where("old is null or struct(agg_cost, depth, pred) < old").drop("old")
-        front = cut(front)
-        if front.isEmpty():
+        better = cut(step.join(known, ["start", "node"], "left").where("old is null or struct(agg_cost, depth, pred) < old").drop("old"), "front")
+        if better.isEmpty():
             return best
-        best = cut(best.join(front.select("start", "node"), ["start", "node"], "left_anti").unionByName(front.select(*best.columns)))
+        last, old, front = best, front, better
+        best = cut(best.join(front.select("start", "node"), ["start", "node"], "left_anti").unionByName(front.select(*best.columns)), "best")
+        forget(last)
+        if old is not last:
+            forget(old)
     raise RuntimeError(f"no fixed point in {most} rounds")
 
 
+def _walk_back(tree: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows (start, end, node, pred, ...) of each path from its end to its start, by the tree's predecessors."""
+    out = [rows.select(*columns)]
+    while True:
+        up = rows.where("pred is not null").select("start", "end", F.col("pred").alias("node"))
+        rows = cut(up.join(tree, ["start", "node"]), "walk")
+        if rows.isEmpty():
+            return reduce(DataFrame.unionByName, out)
+        out.append(rows.select(*columns))
+
+
 def dijkstra(edges: DataFrame, starts: DataFrame, ends: DataFrame, directed=True) -> DataFrame:
     """start, end, seq, node, edge, traversal_cost, traversal_agg_cost: the shortest path of each pair, node by node.
     ``edge`` and ``traversal_cost`` lead into the node."""
-    tree = cut(shortest(edges, starts, directed))
+    tree = cut(shortest(edges, starts, directed), "tree")
     rows = tree.join(ends.select(F.col("id").alias("node")).distinct(), "node").where("start <> node").withColumn("end", F.col("node"))
-    out = rows
-    while True:
-        up = rows.where("pred is not null").select("start", "end", F.col("pred").alias("node"))
-        rows = cut(up.join(tree, ["start", "node"]))
-        if rows.isEmpty():
-            break
-        out = out.unionByName(rows.select(*out.columns))
+    out = _walk_back(tree, rows, ["start", "end", "depth", "node", "edge", "cost", "agg_cost"])
     return out.select("start", "end", F.col("depth").alias("seq"), "node", "edge", F.col("cost").alias("traversal_cost"), F.col("agg_cost").alias("traversal_agg_cost"))
 
 
@@ -94,31 +124,47 @@ def driving_distance(edges: DataFrame, starts: DataFrame, distance: float, direc
     return out.select("start", "node", F.col("agg_cost").alias("traversal_agg_cost"), F.col("depth").alias("traversal_depth"), "pred", F.col("_p").isNull().alias("leaf"))
 
 
-def ksp(edges: DataFrame, start, end, k: int, directed=True, most=10_000) -> DataFrame:
-    """rank, path (array of nodes), traversal_agg_cost: the k shortest loopless paths of a pair. Loopless paths grow from
-    the start; those that cannot beat the k-th best complete one (by the exact distance to the end) are dropped. Paths left after ``most`` rounds are an error."""
-    spark = edges.sparkSession
-    a = cut(arcs(edges, directed))
+def driving_paths(edges: DataFrame, starts: DataFrame, distance: float, directed=True) -> DataFrame:
+    """start, end, path (array of nodes), traversal_agg_cost: a path to each leaf of the tree within a distance."""
+    found = cut(driving_distance(edges, starts, distance, directed), "driving")
+    tree = found.select("start", "node", "pred", F.col("traversal_depth").alias("depth"))
+    rows = _walk_back(tree, found.where("leaf").select("start", F.col("node").alias("end"), "node", "pred", F.col("traversal_depth").alias("depth")), ["start", "end", "node", "depth"])
+    paths = rows.groupBy("start", "end").agg(F.array_sort(F.collect_list(F.struct("depth", "node"))).alias("p"))  # one path's nodes
+    ends = found.where("leaf").select("start", F.col("node").alias("end"), "traversal_agg_cost")
+    return paths.join(ends, ["start", "end"]).select("start", "end", F.col("p.node").alias("path"), "traversal_agg_cost")
+
+
+def ksp_pairs(edges: DataFrame, pairs: DataFrame, k: int, directed=True, most=100_000) -> DataFrame:
+    """start, end, rank, path (array of nodes), traversal_agg_cost: the k shortest loopless paths of each pair (start, end).
+
+    Loopless paths of all pairs grow together from their starts, an edge a round; those that cannot beat the pair's k-th best
+    complete one, by the exact distance to the end, are dropped. Of equal costs fewer edges win, then the smaller path. Paths
+    left after ``most`` rounds are an error."""
+    a = cut(arcs(edges, directed).groupBy("u", "v").agg(F.min("cost").alias("cost")), "arcs")
+    pairs = cut(pairs.select("start", "end").where("start <> end").distinct(), "pairs")
     turned = a.select(F.col("v").alias("src"), F.col("u").alias("dst"), "cost")
-    kind = dict(a.dtypes)["u"]
-    rest = cut(shortest(turned, spark.createDataFrame([(end,)], f"id {kind}")).select(F.col("node").alias("v"), F.col("agg_cost").alias("rest")))
-    front = spark.createDataFrame([([start], 0.0)], f"path array<{kind}>, c double").join(rest.where(F.col("v") == start).drop("v"))
-    done, bound = None, None
+    rest = cut(shortest(turned, pairs.select(F.col("end").alias("id"))).select(F.col("start").alias("end"), F.col("node").alias("v"), F.col("agg_cost").alias("rest")), "rest")
+    front = pairs.join(rest.select("end", F.col("v").alias("start")), ["start", "end"]).select("start", "end", F.array("start").alias("path"), F.lit(0.0).alias("c"))
+    order = Window.partitionBy("start", "end").orderBy("c", F.size("path"), "path")
+    done = None
     for _ in range(most):
-        grown = front.withColumn("u", F.element_at("path", -1)).join(a.groupBy("u", "v").agg(F.min("cost").alias("cost")), "u").where(~F.array_contains("path", F.col("v")))
-        grown = grown.drop("rest").join(rest, "v").select(F.concat("path", F.array("v")).alias("path"), (F.col("c") + F.col("cost")).alias("c"), "rest")
-        if bound is not None:
-            grown = grown.where(F.col("c") + F.col("rest") <= bound)
-        grown = cut(grown)
-        ended = grown.where(F.element_at("path", -1) == end).select("path", "c")
-        done = ended if done is None else done.unionByName(ended)
-        done = cut(done.orderBy("c", F.size("path"), "path").limit(k))
-        stat = done.agg(F.count("*"), F.max("c")).first()
-        bound = stat[1] if stat[0] == k else None
-        front = grown.where(F.element_at("path", -1) != end)
+        grown = front.withColumn("u", F.element_at("path", -1)).join(a, "u").where(~F.array_contains("path", F.col("v"))).join(rest, ["end", "v"])
+        grown = grown.select("start", "end", F.concat("path", F.array("v")).alias("path"), (F.col("c") + F.col("cost")).alias("c"), (F.col("c") + F.col("cost") + F.col("rest")).alias("whole"))
+        if done is not None:  # pairs with k complete paths bound what may still grow
+            bound = done.groupBy("start", "end").agg(F.count("*").alias("n"), F.max("c").alias("bound")).where(F.col("n") >= k).drop("n")
+            grown = grown.join(bound, ["start", "end"], "left").where("bound is null or whole <= bound").drop("bound")
+        grown = cut(grown, "grown")
+        ended = grown.where(F.element_at("path", -1) == F.col("end")).select("start", "end", "path", "c")
+        best = (ended if done is None else done.unionByName(ended)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        done = cut(best.drop("rank"), "done")
+        front = grown.where(F.element_at("path", -1) != F.col("end")).drop("whole")
         if front.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"paths left after {most} rounds")
-    rank = F.row_number().over(Window.orderBy("c", F.size("path"), "path"))  # k rows
-    return done.select(rank.alias("rank"), "path", F.col("c").alias("traversal_agg_cost"))
+            return done.withColumn("rank", F.row_number().over(order)).select("start", "end", "rank", "path", F.col("c").alias("traversal_agg_cost"))
+    raise RuntimeError(f"paths left after {most} rounds")
+
+
+def ksp(edges: DataFrame, start, end, k: int, directed=True, most=100_000) -> DataFrame:
+    """rank, path, traversal_agg_cost: ksp_pairs() of one pair."""
+    kind = dict(edges.dtypes)["src"]
+    pair = edges.sparkSession.createDataFrame([(start, end)], f"start {kind}, end {kind}")
+    return ksp_pairs(edges, pair, k, directed, most).select("rank", "path", "traversal_agg_cost")
