@@ -297,8 +297,10 @@ def test_minhash(spark, percent, tile):
     rows += [words(rng, rng.randrange(5, 80), pool) + " " + passage for _ in range(60)] + [words(rng, 3, pool[:3]) for _ in range(12)] + [words(rng, 8, pool[:2]) for _ in range(12)]
     rows = list(enumerate(rows))
     rng.shuffle(rows)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent, tile=tile, broadcast_ids=0 if tile == 8 else 1000).collect()}
-    assert got == brute(rows, percent)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (0, 100, 1 << 18):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(d, percent=percent, tile=tile, broadcast_ids=0 if tile == 8 else 1000, most_frequent=most, bucket_entries=700).collect()}
+        assert got == brute(rows, percent)
 
 
 def test_minhash_odd(odd, none):
@@ -324,18 +326,19 @@ def test_urls(spark):
     assert url_filter.judge(pages, listed.where("false")).where("listed").count() == 0 and url_filter.judge(pages.where("false"), listed).count() == 0
 
 
-def test_minhash_small_sets_share_an_entry():
-    """Every pair at the threshold does, at every size: random sets of one pair each, exact by their sizes."""
+def test_minhash_similar_sets_share_a_retained_value():
+    """Every pair at the threshold does, at every size and whatever values count as frequent."""
     rng = np.random.default_rng(9)
     for percent in (80, 85):
         for n in range(1, 41):
             for m in range(n, n * 100 // percent + 1):
                 least = -(-percent * (n + m) // (100 + percent))
-                for shared in range(least, n + 1):
-                    for _ in range(100):
-                        v = rng.integers(0, 2**64, n + m - shared, dtype=np.uint64)
-                        a, b = np.sort(v[:n]), np.sort(v[n - shared :])
-                        assert np.intersect1d(minhash_dedup.entries(a, percent), minhash_dedup.entries(b, percent)).size, (percent, n, m, shared)
+                for shared_ in range(least, n + 1):
+                    for k in range(20):
+                        v = rng.integers(0, 2**63, n + m - shared_, dtype=np.uint64)
+                        a, b = np.sort(v[:n]), np.sort(v[n - shared_ :])
+                        order = minhash_dedup.Order(rng.permutation(v)[: k % 3 * len(v) // 2])
+                        assert np.intersect1d(order.retained(a, percent), order.retained(b, percent)).size, (percent, n, m, shared_)
 
 
 # Language model

@@ -1,69 +1,22 @@
-"""What several operators of this subpackage need: shared storage, words, connected components."""
+"""What several operators of this subpackage need: words, packed arrays, and the core's storage and components."""
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.operators.algorithms import components  # noqa: F401
+from weftgraph.plans.storage import cut, delete, forget, new_path, shared_dir  # noqa: F401
+
 #: A word is a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_own_dirs: dict[str, tempfile.TemporaryDirectory] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where it is unset, and then
-    only in local mode, a temporary folder of this process stands in for it."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-        at = jvm.org.apache.hadoop.fs.Path(found)
-        whole = at.getFileSystem(conf).makeQualified(at).toString().rstrip("/")
-        return re.sub("^file:/(?!/)", "file:///", whole)
-    context = spark.sparkContext
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    own = _own_dirs.setdefault(context.applicationId, tempfile.TemporaryDirectory(prefix="weftgraph-"))
-    return f"file://{own.name}"
-
-
-@atexit.register
-def _clean() -> None:
-    for own in _own_dirs.values():
-        own.cleanup()
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows as Parquet in the shared folder and reads them back: the plan above starts there, and a
-    lost executor costs no earlier work."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._weft_path = path
-    return out
-
-
-def forget(df: DataFrame | None) -> None:
-    """Deletes what cut() wrote; only for tables that nothing will read again."""
-    if (path := getattr(df, "_weft_path", None)) is not None:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -86,67 +39,29 @@ def word_count(text: Column) -> Column:
     return F.when(text.isNull() | (inner == ""), F.lit(0)).otherwise(F.size(F.split(inner, GAP))).cast("long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node of ``edges`` (a, b: long); component is the smallest reachable node.
-
-    Alternating large-star and small-star rounds (Kiveris et al., 2014): each round replaces the edges by edges to
-    smaller nodes, at most as many as before. Only counts and a checksum reach the driver. Minima are combined
-    before the shuffle and written, so that the join to them has a shuffle of its own on both sides, whose hot nodes
-    adaptive execution can split.
-    """
-    e = (
-        edges.where("a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
-    )
-    e, seen = cut(e, "cc"), None
-    while True:
-        now = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(cast(v as decimal(38,0)))")).first()
-        if now == seen or not now[0]:
-            break
-        seen = now
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least")
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(small, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        last, e = e, cut(moved.unionByName(small.withColumnRenamed("m", "v")).distinct(), "cc")
-        forget(last)
-        forget(least)
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
-
-
-def deal_tiles(rows: DataFrame, keys: list[str], cell: str, node: str, tile: int) -> DataFrame:
-    """Deals ``rows`` out to tasks so that any two rows of equal ``keys`` in the same or in adjacent cells meet in
-    exactly one task, and no task gets more than about ``tile`` rows a side.
-
-    Adds kind, i, j, side (0 home, 1 other) and moves ``cell`` to the task's cell. A task is (keys, cell, kind, i, j); with
-    kind 0 and i = j all its pairs count, home with home and home with other; in any other task only home with other.
-    """
-    at = [*keys, cell]
-    tiles = cut(rows.groupBy(*at).agg(F.ceil(F.count("*") / tile).cast("int").alias("_t")), "tiles")
-    near = tiles
-    for name, shift in (("_prev", 1), ("_next", -1)):
-        moved = tiles.select(*keys, (F.col(cell) + shift).cast("int").alias(cell), F.col("_t").alias(name))
-        near = near.join(moved, at, "left")
-    near = near.fillna(0, ["_prev", "_next"])
-    rows = rows.join(near, at).withColumn("_own", F.pmod(F.xxhash64(node), F.col("_t")).cast("int"))
-
-    def each(n: Column, task) -> Column:
-        return F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), task)
-
-    def to(c: Column, kind: int, i: Column, j: Column, side: Column) -> Column:
-        return F.struct(c.cast("int").alias("cell"), F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
-
-    t, mine, c = F.col("_t"), F.col("_own"), F.col(cell)
-    inside = each(t, lambda k: to(c, 0, F.least(mine, k), F.greatest(mine, k), F.when(mine <= k, 0).otherwise(1)))
-    # A single tile visits the home tasks of the cell before; several tiles get tasks of their own.
-    visit = each(F.col("_prev"), lambda k: F.when(t == 1, to(c - 1, 0, k, k, F.lit(1))).otherwise(to(c - 1, 1, k, mine, F.lit(1))))
-    host = each(F.when(F.col("_next") > 1, F.col("_next")).otherwise(0), lambda k: to(c, 1, mine, k, F.lit(0)))
-    dealt = rows.withColumn("_g", F.explode(F.concat(inside, visit, host)))
-    return dealt.drop(cell, "_t", "_prev", "_next", "_own").select("*", F.col("_g.cell").alias(cell), "_g.kind", "_g.i", "_g.j", "_g.side").drop("_g")
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers from 0, by byte planes, compressed."""
+    parts = [np.array([len(arrays), *(x for a in arrays for x in (len(a), _width(a)))], np.int64).tobytes()]
+    for a in arrays:
+        parts.append(np.ascontiguousarray(np.asarray(a).astype(np.int64).view(np.uint8).reshape(-1, 8)[:, : _width(a)].T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def _width(a) -> int:
+    return (int(a.max()).bit_length() + 7) // 8 if len(a) else 0
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    n = int(raw[:8].view(np.int64)[0])
+    shape = raw[8 : 8 + 16 * n].view(np.int64).reshape(n, 2)
+    at, out = 8 + 16 * n, []
+    for size, width in shape.tolist():
+        whole = np.zeros((size, 8), np.uint8)
+        whole[:, :width] = raw[at : at + size * width].reshape(width, size).T
+        out.append(whole.view(np.int64).reshape(size))
+        at += size * width
+    return out
 
 
 def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:

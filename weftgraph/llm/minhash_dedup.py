@@ -1,21 +1,20 @@
 """Near-duplicate documents by bottom-k sketches of word shingles.
 
-One hash function orders all shingles. A document's sketch keeps the smallest values of its set: the r smallest of each
-of m strata of the hash, k = m * r in all. The inverted lists hold the retained values, a stratum's r values together as
-one entry: two sets of similarity J agree on an entry with a chance of about J^r, so that with r = 5 and m = 40 a pair at
-J = 0.8 shares none with a chance of about 1e-7, while a passage that many documents share makes few entries alike. Sets
-of up to SMALL shingles, whose strata could be empty, enter each of their smallest values instead, as many as the set can
-lack of a similar one and one more (a prefix filter): the smallest shared value is then among both sets' entries, always.
-Between, sets get as many strata as pairs at the threshold can differ in shingles, plus one: one is untouched, and a set
-that has an empty stratum, which may be the untouched one, enters a second, independent stratification too.
-Similar sets have sizes within a factor of J: sizes are cut into steps of that factor, and a document's entries are
-made for its own step and the next, in which it meets the documents of its step and of both neighbours.
-
-Overlaps are not spelled out as pairs. Each list ties its documents to its smallest, and connected components of these
-ties are clusters of candidates. Inside a cluster, documents are laid out by set size and compared tile by tile: the
-overlap of the union's bottom-k sketch estimates every pair's similarity, pairs that could reach the threshold are
-counted on their full sets, and a task returns only the components it saw. Equal sets are compared once. Nothing is
-capped: a large list makes a large cluster, hence more tile tasks of the same size.
+One hash function orders all shingles, but for a broadcast list of frequent ones (seen twice or more in a sample of the
+rows, at most ``most`` of them), which come after all others, the rarer first. No result depends on the list: it only
+shortens the inverted lists. A document retains the first values of its set in that order, as many as it can lack of a
+similar set, and one more: two similar sets have a retained value in common, always.
+
+1. Lists. Retained values go, packed, to buckets by value, which make lists of the distinct sets that retain it; lists of one
+   are dropped, lists with equal members are one list with a weight.
+2. Heads. The member of a list that is in most lists is its head; a set's overlap with a head is the weight of the lists that
+   they share. Each set is compared with the head of its largest overlap: links, not pairs, of a large group of copies.
+3. The rest. A list whose members are all in one component by then can add nothing. The members of the others are
+   clustered by their lists and compared tile by tile, but for pairs inside the cluster's largest component; cells of similar
+   set sizes keep apart what can't be similar. Large clusters make more tasks of the same size; nothing is capped.
+
+A comparison estimates the similarity from the bottom-k sketch of the union, and pairs that could reach the threshold are
+counted on their full sets. Tasks return the components that they saw. Equal sets are compared once.
 """
 
 from __future__ import annotations
@@ -28,10 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm._shared import components, cut, deal_tiles, roots, slices, table
+from weftgraph.llm._shared import components, cut, pack, roots, slices, table, unpack
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
-STRATA, RUN, SMALL = 40, 5, 30
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -57,7 +55,7 @@ class WordHashes(dict):
 
 
 def shingle_set(text: bytes | None, hashes: WordHashes, size: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of a text (UTF-8): A-Z lowered, words between white space.
+    """Sorted distinct 63-bit hashes of the shingles of a text (UTF-8): A-Z lowered, words between white space.
     Fewer words than ``size`` are one shingle; no words, none."""
     words = text.lower().split() if text else ()  # bytes: ASCII case and white space only
     n = len(words)
@@ -68,7 +66,7 @@ def shingle_set(text: bytes | None, hashes: WordHashes, size: int) -> np.ndarray
     h = np.full(n - m + 1, m, np.uint64)
     for i in range(m):
         h += w[i : n - m + 1 + i] * ODD[i % 8] + np.uint64(i // 8)
-    return np.unique(mix64(h))
+    return np.unique(mix64(h) >> np.uint64(1))
 
 
 def step_of(n: int, percent: int) -> int:
@@ -76,43 +74,57 @@ def step_of(n: int, percent: int) -> int:
     return math.floor(math.log(n) / (math.log(100 / percent) * (1 + 1e-9)))
 
 
-def entries(s: np.ndarray, percent: int) -> np.ndarray:
-    """For the set's step of sizes and the next: an entry per stratum in use, a hash of step, stratum and its RUN
-    smallest values; in the steps of small sets, one for each value of the prefix."""
-    out, step = [], step_of(len(s), percent)
-    prefix = len(s) + percent * -len(s) // 100 + 1  # all but the values that a similar set must share, and one more
-    for at in (step, step + 1):
-        if at <= step_of(SMALL, percent) + 1:
-            out.append(mix64(s[:prefix] ^ (np.array([at], np.uint64) * ODD[7])))
-            continue
-        differ = (100 - percent) / percent * (100 / percent) ** (at + 1)  # at most, for sets that meet in this step
-        strata = min(STRATA, int(differ) + 1)
-        for again, h in ((0, s), (1, mix64(s))):
-            stratum = (h % np.uint64(strata)).astype(np.int64)
-            order = np.argsort(stratum, kind="stable")
-            stratum, values = stratum[order], s[order]
-            place = np.arange(len(s)) - np.searchsorted(stratum, np.arange(strata))[stratum]
-            low = place < RUN
-            key = np.zeros(strata, np.uint64)
-            np.add.at(key, stratum[low], values[low] * ODD[place[low]])
-            used = np.unique(stratum)
-            out.append(mix64(key[used] ^ ((used + (2 * at + again) * STRATA).astype(np.uint64) * ODD[6])))
-            if len(used) == strata:
-                break
-    return np.concatenate(out).view(np.int64)
-
-
-def _sketches(size, percent):
+def _shingles(size):
     def run(batches):
         hashes = WordHashes()
+        for batch in (x for b in batches for x in slices(b, 100)):
+            found = [shingle_set(t.as_py(), hashes, size) for t in batch.column("_text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.empty(0, np.uint64)]).astype(np.int64))], names=["v"])
+
+    return run
+
+
+def frequent(rows: DataFrame, size: int, share=0.03, least=2000, most=1 << 18) -> np.ndarray:
+    """Shingles that occur in two or more of a sample of the rows (_text), the rarer first; at most ``most``."""
+    n = rows.count()
+    part = rows if n <= least else rows.sample(max(share, least / n), seed=3)
+    counts = part.select("_text").mapInArrow(_shingles(size), "v long").groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
+    found = counts.orderBy(F.desc("c"), "v").limit(most).select("v").toArrow()
+    return found.column("v").to_numpy()[::-1].astype(np.uint64)
+
+
+class Order:
+    """The order of shingles: by hash, but ``late`` ones after all others, as they are given."""
+
+    def __init__(self, late: np.ndarray):
+        self.rank = np.argsort(late, kind="stable")
+        self.late = late[self.rank]
+
+    def retained(self, s: np.ndarray, percent: int) -> np.ndarray:
+        """The first values of a sorted set, all but those that a similar set must share, and one more."""
+        keep = len(s) + percent * -len(s) // 100 + 1
+        if not len(self.late):
+            return s[:keep]
+        at = np.minimum(np.searchsorted(self.late, s), len(self.late) - 1)
+        late = self.late[at] == s
+        early = s[~late][:keep]
+        if len(early) == keep:
+            return early
+        rest = s[late][np.argsort(self.rank[at[late]], kind="stable")]
+        return np.concatenate([early, rest[: keep - len(early)]])
+
+
+def _sketches(size, percent, shipped):
+    def run(batches):
+        hashes, order = WordHashes(), Order(shipped.value)
         for batch in (x for b in batches for x in slices(b)):
-            n, key, lists = [], [], []
+            n, key, kept = [], [], []
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), hashes, size)
                 n.append(len(s))
                 key.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
-                lists.append(entries(s, percent) if len(s) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.string()), pa.array(lists, pa.list_(pa.int64()))], names=["_id", "n_shingles", "_set", "_lists"])
+                kept.append(order.retained(s, percent).view(np.int64) if len(s) else np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.string()), pa.array(kept, pa.list_(pa.int64()))], names=["_id", "n_shingles", "_set", "_kept"])
 
     return run
 
@@ -128,6 +140,46 @@ def _sets(size):
     return run
 
 
+def _ask(buckets: int):
+    """bucket, blob: the retained values of (_node, _kept) rows, sorted, and the nodes that retain them."""
+
+    def run(batches):
+        for batch in (x for b in batches for x in slices(b, 5000)):
+            node, first = np.unique(batch.column("_node").to_numpy(), return_index=True)
+            kept = batch.column("_kept").take(pa.array(first))
+            value = kept.flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat(node, np.diff(kept.offsets.to_numpy()))
+            bucket = value % buckets
+            order = np.lexsort((value, bucket))
+            value, owner, bucket = value[order], owner[order], bucket[order]
+            used = np.unique(bucket)
+            cuts = np.searchsorted(bucket, [used, used + 1])
+            blobs = [pack(np.diff(value[a:b], prepend=0), owner[a:b]) for a, b in zip(*cuts, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
+    return run
+
+
+def _lists(key, group):
+    """list, node, weight: the members of lists of two or more; ``list`` is a hash of its members, which names equal lists alike."""
+    parts = [unpack(b.as_py()) for b in group.column("blob")]
+    value, node = np.concatenate([np.cumsum(p[0]) for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.lexsort((node, value))
+    value, node = value[order], node[order]
+    if len(value):
+        new = np.append(True, (value[1:] != value[:-1]) | (node[1:] != node[:-1]))
+        value, node = value[new], node[new]
+    start = np.nonzero(np.append(True, value[1:] != value[:-1]))[0] if len(value) else np.empty(0, np.int64)
+    size = np.diff(np.append(start, len(value)))
+    several = np.repeat(size > 1, size)
+    node, size = node[several], size[size > 1]
+    if not len(node):
+        return pa.table({"list": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "weight": pa.array([], pa.int64())})
+    name = mix64(np.add.reduceat(mix64(node.astype(np.uint64)), np.cumsum(size) - size) + size.astype(np.uint64)).view(np.int64)
+    rows = pa.table({"list": pa.array(np.repeat(name, size)), "node": pa.array(node)})
+    return rows.group_by(["list", "node"]).aggregate([([], "count_all")]).rename_columns(["list", "node", "weight"])
+
+
 def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, most=8192) -> np.ndarray:
     """Sizes of the intersections of the sets ``left`` with the sets ``right``, by incidence matrices over shared values."""
     which = np.unique(np.concatenate([left, right]))
@@ -194,53 +246,110 @@ def links(sets, left, right, same: bool, percent: int, k=128):
 
 
 def _compare(percent):
+    """Compares, for each ``sub`` of a group, its home rows with each other (where ``same``) and with its other rows (side 1)."""
+
     def run(key, group):
-        rep, side = group.column("rep").to_numpy(), group.column("side").to_numpy()
-        sets = [np.frombuffer(v.as_py(), np.uint64) for v in group.column("_values")]
-        home, other = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
-        whole = key[2].as_py() == 0 and key[3].as_py() == key[4].as_py()
-        found = [links(sets, home, home, True, percent)] if whole and len(home) > 1 else []
-        if len(home) and len(other):
-            found.append(links(sets, home, other, False, percent))
-        i, j = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.empty(0, int), np.empty(0, int))
-        low = roots(len(rep), i, j)
-        moved = np.nonzero(low != np.arange(len(rep)))[0]
-        return pa.table({"a": pa.array(rep[moved]), "b": pa.array(rep[low[moved]])})
+        rows = group.sort_by([("sub", "ascending"), ("rep", "ascending")])
+        sub, rep, side, same = (rows.column(k).to_numpy() for k in ("sub", "rep", "side", "same"))
+        values, out = rows.column("_values"), [(np.empty(0, np.int64),) * 2]
+        starts = np.append(np.nonzero(np.append(True, sub[1:] != sub[:-1]))[0], len(sub))
+        for s, e in zip(starts, starts[1:], strict=False):
+            sets = [np.frombuffer(v.as_py(), np.uint64) for v in values[int(s) : int(e)]]
+            home, other = np.nonzero(side[s:e] == 0)[0], np.nonzero(side[s:e] == 1)[0]
+            found = [links(sets, home, home, True, percent)] if same[s] and len(home) > 1 else []
+            if len(home) and len(other):
+                found.append(links(sets, home, other, False, percent))
+            for i, j in found:
+                low = roots(e - s, i, j)
+                moved = np.nonzero(low != np.arange(e - s))[0]
+                out.append((rep[s:e][moved], rep[s:e][low[moved]]))
+        a, b = (np.concatenate(z) for z in zip(*out, strict=True))
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle=5, percent=85, tile=256, broadcast_ids=500_000) -> DataFrame:
+def _tile_tasks(rows: DataFrame, tile: int) -> DataFrame:
+    """Deals ``rows`` (cluster, cell, rep, minor) out: sub, task, side, same, rep. Any two rows of a cluster in the same or in
+    adjacent cells, of which one is minor, meet in one sub. A cluster of up to ``tile`` rows is one sub; in larger ones, tiles of
+    minor rows meet tiles of all."""
+    total = rows.groupBy("cluster").agg(F.count("*").alias("total"))
+    rows = rows.join(total, "cluster")
+    small = rows.where(F.col("total") <= tile).select(F.col("cluster").alias("sub"), F.lit(0).alias("large"), F.when(F.col("minor"), 0).otherwise(1).alias("side"), F.lit(True).alias("same"), "rep")
+    at = ["cluster", "cell", "minor"]
+    large = rows.where(F.col("total") > tile).select(*at, "rep")
+    counts = large.groupBy(*at).agg(F.ceil(F.count("*") / tile).cast("int").alias("_t"))
+    large = large.join(counts, at).withColumn("i", F.pmod(F.xxhash64("rep"), F.col("_t")).cast("int")).drop("_t")
+    tiles = counts.select(*at, F.explode(F.sequence(F.lit(0), F.col("_t") - 1)).alias("i"))
+    near = tiles.select("cluster", F.explode(F.array(F.col("cell") - 1, "cell", F.col("cell") + 1)).alias("cell"), F.struct("cell", "minor", "i").alias("y"))
+    x = F.struct("cell", "minor", "i")
+    pairs = tiles.where("minor").select("cluster", "cell", x.alias("x")).join(near, ["cluster", "cell"]).where("not y.minor or struct(y.cell, y.i) >= struct(x.cell, x.i)")
+    pairs = cut(pairs.select("cluster", "x", "y", F.xxhash64("cluster", "x", "y").alias("sub")), "minhash-tiles")
+    sides = [
+        large.withColumn(k, x).join(pairs.where("x = y" if k == "x" and n else "x <> y"), ["cluster", k]).select("sub", F.lit(1).alias("large"), F.lit(side).alias("side"), F.lit(bool(n)).alias("same"), "rep")
+        for k, side, n in (("x", 0, 1), ("x", 0, 0), ("y", 1, 0))
+    ]
+    out = small
+    for one in sides:
+        out = out.unionByName(one)
+    return out
+
+
+def _found(dealt: DataFrame, sets: DataFrame, percent: int, per_task=4000) -> DataFrame:
+    """The links' components of ``dealt`` (sub, large, side, same, rep): a, b. Small subs share a task."""
+    dealt = cut(dealt, "minhash-dealt")
+    tasks = max(1, dealt.where("large = 0").count() // per_task)
+    dealt = dealt.withColumn("task", F.when(F.col("large") == 0, F.pmod(F.xxhash64("sub"), F.lit(tasks))).otherwise(F.col("sub")))
+    rows = dealt.join(sets, "rep").select("large", "task", "sub", "side", "same", "rep", "_values")
+    return rows.groupBy("large", "task").applyInArrow(_compare(percent), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle=5, percent=85, tile=512, bucket_entries=1 << 20, broadcast_ids=500_000, most_frequent=1 << 18) -> DataFrame:
     """id, n_shingles, component_id, kept of every row.
 
     Null texts and texts without words have an empty set and link with nothing, as do rows with null id. Rows that
     repeat an id share its component. Ties don't arise: a component is named by its smallest id. Texts are used whole;
-    only the two named columns are read. Candidate ids are broadcast up to ``broadcast_ids`` and joined by a shuffle
-    beyond.
+    only the two named columns are read. An empty table gives no rows. Candidate ids are broadcast up to
+    ``broadcast_ids`` and joined by a shuffle beyond; ``most_frequent`` bounds the broadcast list of frequent shingles.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text"))
-    sketched = cut(rows.mapInArrow(_sketches(shingle, percent), "_id long, n_shingles long, _set string, _lists array<bigint>"), "minhash-sketches")
+    late = docs.sparkSession.sparkContext.broadcast(frequent(rows, shingle, most=most_frequent))
+    sketched = cut(rows.mapInArrow(_sketches(shingle, percent, late), "_id long, n_shingles long, _set string, _kept array<bigint>"), "minhash-sketches")
     ok = F.col("_id").isNotNull() & (F.col("n_shingles") > 0)
-    node = F.conv(F.substring("_set", 1, 15), 16, 10).cast("long")
-    classes = sketched.where(ok).groupBy("_set").agg(F.min("_id").alias("rep"), F.max("n_shingles").alias("n"))
-    classes = cut(classes.withColumn("node", node), "minhash-classes")
-    lists = sketched.where(ok).select(node.alias("a"), F.explode("_lists").alias("entry"))
-    first = lists.groupBy("entry").agg(F.min("a").alias("b"), F.max("a").alias("z")).where("b < z").select("entry", "b")
-    ties = lists.join(first, "entry").where("a <> b").select("a", "b").distinct()
-    clusters = components(ties).withColumnRenamed("component", "cluster")
-    members = cut(clusters.join(classes, "node").select("cluster", "rep", "n"), "minhash-clusters")
-    total = members.groupBy("cluster").agg(F.count("*").alias("total"))
-    by_size = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * (1 + 1e-9))).cast("int")
-    # One task takes a whole small cluster; a larger one is dealt out by set size.
-    placed = members.join(total, "cluster").select("cluster", "rep", F.when(F.col("total") <= tile, 0).otherwise(by_size).alias("cell"))
-    dealt = deal_tiles(placed, ["cluster"], "cell", "rep", tile)
-    dealt = cut(dealt, "minhash-tasks")
-    n = dealt.count()
-    texts = rows.join(F.broadcast(dealt) if n <= broadcast_ids else dealt, F.col("_id") == F.col("rep"))
-    sets = texts.select("cluster", "cell", "kind", "i", "j", "side", "rep", "_text").mapInArrow(_sets(shingle), "cluster long, cell int, kind int, i int, j int, side int, rep long, _values binary")
-    found = sets.groupBy("cluster", "cell", "kind", "i", "j").applyInArrow(_compare(percent), "a long, b long")
-    groups = components(found)
-    named = classes.drop("node").join(groups, F.col("node") == F.col("rep"), "left").select(F.col("_set").alias("s"), F.coalesce("component", "rep").alias("component_id"))
+    node = F.shiftrightunsigned(F.xxhash64("_set"), 1)
+    classes = cut(sketched.where(ok).groupBy("_set").agg(F.min("_id").alias("rep"), F.max("n_shingles").alias("n")).withColumn("node", node), "minhash-classes")
+    entries = sketched.where(ok).agg(F.coalesce(F.sum(F.size("_kept")), F.lit(0))).first()[0]
+    asked = sketched.where(ok).select(node.alias("_node"), "_kept").mapInArrow(_ask(max(1, -(-entries // bucket_entries))), "bucket int, blob binary")
+    lists = asked.groupBy("bucket").applyInArrow(_lists, "list long, node long, weight long").groupBy("list", "node").agg(F.sum("weight").alias("weight"))
+    lists = cut(lists.join(classes.select("node", "rep", "n"), "node").groupBy("list", "rep").agg(F.max("weight").alias("weight"), F.max("n").alias("n")), "minhash-lists")
+    members = cut(lists.groupBy("rep").agg(F.sum("weight").alias("degree"), F.max("n").alias("n")), "minhash-members")
+    wanted = members.select(F.col("rep").alias("_id"))
+    texts = rows.join(F.broadcast(wanted) if wanted.count() <= broadcast_ids else wanted, "_id")
+    sets = cut(texts.select(F.col("_id").alias("rep"), "_text").mapInArrow(_sets(shingle), "rep long, _values binary"), "minhash-sets")
+    # Each set against the head that it shares most with.
+    heads = lists.join(members.select("rep", "degree"), "rep").groupBy("list").agg(F.max(F.struct("degree", "rep"))["rep"].alias("head"))
+    ties = lists.join(heads, "list").where("rep <> head").groupBy("rep", "head").agg(F.sum("weight").alias("overlap"))
+    star = cut(ties.groupBy("rep").agg(F.max(F.struct("overlap", "head"))["head"].alias("head")), "minhash-star")
+    hot = star.groupBy("head").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
+    sub = F.xxhash64("head", "part").alias("sub")
+    others = star.join(hot, "head").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).select(sub, F.lit(1).alias("side"), "rep")
+    homes = hot.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(sub, F.lit(0).alias("side"), F.col("head").alias("rep"))
+    dealt = others.unionByName(homes).select("sub", F.lit(0).alias("large"), "side", F.lit(False).alias("same"), "rep")
+    first = cut(components(_found(dealt, sets, percent)), "minhash-first")
+    # Lists of several components.
+    known = lists.join(first, F.col("rep") == F.col("node"), "left").select("list", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    mixed = known.groupBy("list").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.min("rep").alias("b")).where("least < most").select("list", "b")
+    open_ = cut(known.join(mixed, "list").select("rep", "n", "c", "b"), "minhash-open")
+    clusters = components(open_.select(F.col("rep").alias("a"), "b").where("a <> b").distinct())
+    placed = open_.select("rep", "n", "c").distinct().join(clusters, F.col("rep") == F.col("node")).select(F.col("component").alias("cluster"), "rep", "n", "c")
+    placed = cut(placed, "minhash-placed")
+    major = placed.groupBy("cluster", "c").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max(F.struct("k", "c"))["c"].alias("major"))
+    cell = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * (1 + 1e-9))).cast("int").alias("cell")
+    placed = placed.join(major, "cluster").select("cluster", cell, "rep", (F.col("c") != F.col("major")).alias("minor"))
+    second = _found(_tile_tasks(placed, tile), sets, percent)
+    groups = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second))
+    named = classes.drop("node").join(groups, F.col("rep") == F.col("node"), "left")
+    named = named.select(F.col("_set").alias("s"), F.coalesce("component", "rep").alias("component_id"))
     linked = sketched.where(ok).join(named, F.col("_set") == F.col("s")).select("_id", "n_shingles", "component_id")
     alone = sketched.where(~ok).select("_id", "n_shingles", F.col("_id").alias("component_id"))
     out = linked.unionByName(alone)
