@@ -299,7 +299,7 @@ def test_minhash(spark, percent, tile):
     rng.shuffle(rows)
     d = spark.createDataFrame(rows, "doc_id long, text string")
     for most in (0, 100, 1 << 18):
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(d, percent=percent, tile=tile, broadcast_ids=0 if tile == 8 else 1000, most_frequent=most, bucket_entries=700).collect()}
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(d, percent=percent, tile=tile, broadcast_ids=0 if tile == 8 else 1000, most_frequent=most, bucket_entries=700, short_list=256 if most else 4).collect()}
         assert got == brute(rows, percent)
 
 

@@ -8,10 +8,13 @@ similar set, and one more: two similar sets have a retained value in common, alw
 1. Lists. Retained values go, packed, to buckets by value, which make lists of the distinct sets that retain it; lists of one
    are dropped, lists with equal members are one list with a weight.
 2. Heads. The member of a list that is in most lists is its head; a set's overlap with a head is the weight of the lists that
-   they share. Each set is compared with the head of its largest overlap: links, not pairs, of a large group of copies.
-3. The rest. A list whose members are all in one component by then can add nothing. The members of the others are
-   clustered by their lists and compared tile by tile, but for pairs inside the cluster's largest component; cells of similar
-   set sizes keep apart what can't be similar. Large clusters make more tasks of the same size; nothing is capped.
+   they share. Each set is compared with the head of its largest overlap, if sizes and overlap allow a link: links, not
+   pairs, of a large group of copies.
+3. The rest. A list whose members are all in one component by then can add nothing. The others generate the overlaps of sets
+   of similar size in different components; a pair whose overlap is too small for the sizes can't be similar (values that
+   are not retained bound what else is shared). Members of longer lists are tied without counting. What is left is clustered
+   and compared tile by tile, but for pairs inside the cluster's largest component; cells of similar set sizes keep apart
+   what can't be similar. Large clusters make more tasks of the same size; nothing is capped.
 
 A comparison estimates the similarity from the bottom-k sketch of the union, and pairs that could reach the threshold are
 counted on their full sets. Tasks return the components that they saw. Equal sets are compared once.
@@ -245,6 +248,25 @@ def links(sets, left, right, same: bool, percent: int, k=128):
     return a[ok], b[ok]
 
 
+def _overlaps(percent):
+    """a, b, overlap: for each ``list`` of a group, the pairs of different components and similar sizes, with its weight."""
+
+    def run(key, group):
+        rows = group.sort_by([("list", "ascending"), ("rep", "ascending")])
+        name, rep, n, c, weight = (rows.column(k).to_numpy() for k in ("list", "rep", "n", "c", "weight"))
+        starts = np.append(np.nonzero(np.append(True, name[1:] != name[:-1]))[0], len(name))
+        out = [(np.empty(0, np.int64),) * 3]
+        for s, e in zip(starts, starts[1:], strict=False):
+            i, j = np.triu_indices(e - s, 1)
+            low, high = np.minimum(n[s + i], n[s + j]), np.maximum(n[s + i], n[s + j])
+            ok = (c[s + i] != c[s + j]) & (100 * low >= percent * high)
+            out.append((rep[s + i[ok]], rep[s + j[ok]], np.full(int(ok.sum()), weight[s])))
+        a, b, w = (np.concatenate(z) for z in zip(*out, strict=True))
+        return pa.table({"a": pa.array(a), "b": pa.array(b), "overlap": pa.array(w)}).group_by(["a", "b"]).aggregate([("overlap", "sum")]).rename_columns(["a", "b", "overlap"])
+
+    return run
+
+
 def _compare(percent):
     """Compares, for each ``sub`` of a group, its home rows with each other (where ``same``) and with its other rows (side 1)."""
 
@@ -304,7 +326,7 @@ def _found(dealt: DataFrame, sets: DataFrame, percent: int, per_task=4000) -> Da
     return rows.groupBy("large", "task").applyInArrow(_compare(percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle=5, percent=85, tile=512, bucket_entries=1 << 20, broadcast_ids=500_000, most_frequent=1 << 18) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle=5, percent=85, tile=512, bucket_entries=1 << 20, broadcast_ids=500_000, most_frequent=1 << 18, short_list=256) -> DataFrame:
     """id, n_shingles, component_id, kept of every row.
 
     Null texts and texts without words have an empty set and link with nothing, as do rows with null id. Rows that
@@ -323,30 +345,46 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle=5
     lists = asked.groupBy("bucket").applyInArrow(_lists, "list long, node long, weight long").groupBy("list", "node").agg(F.sum("weight").alias("weight"))
     lists = cut(lists.join(classes.select("node", "rep", "n"), "node").groupBy("list", "rep").agg(F.max("weight").alias("weight"), F.max("n").alias("n")), "minhash-lists")
     members = cut(lists.groupBy("rep").agg(F.sum("weight").alias("degree"), F.max("n").alias("n")), "minhash-members")
-    wanted = members.select(F.col("rep").alias("_id"))
-    texts = rows.join(F.broadcast(wanted) if wanted.count() <= broadcast_ids else wanted, "_id")
-    sets = cut(texts.select(F.col("_id").alias("rep"), "_text").mapInArrow(_sets(shingle), "rep long, _values binary"), "minhash-sets")
+
+    def sets_of(reps: DataFrame) -> DataFrame:
+        wanted = reps.select(F.col("rep").alias("_id")).distinct()
+        texts = rows.join(F.broadcast(wanted) if wanted.count() <= broadcast_ids else wanted, "_id")
+        return cut(texts.select(F.col("_id").alias("rep"), "_text").mapInArrow(_sets(shingle), "rep long, _values binary"), "minhash-sets")
+
+    size = members.select("rep", "n")
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b, overlap) that could be similar, by their sizes and by what values that aren't retained could add."""
+        pairs = pairs.join(size.withColumnsRenamed({"rep": "a", "n": "n_a"}), "a").join(size.withColumnsRenamed({"rep": "b", "n": "n_b"}), "b")
+        share = lambda n: F.ceil(F.col(n) * percent / 100)
+        least = F.ceil((F.col("n_a") + F.col("n_b")) * percent / F.lit(100.0 + percent) - 1e-6) - F.greatest(share("n_a"), share("n_b")) + 1
+        return pairs.where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.col("overlap") >= least))
+
     # Each set against the head that it shares most with.
     heads = lists.join(members.select("rep", "degree"), "rep").groupBy("list").agg(F.max(F.struct("degree", "rep"))["rep"].alias("head"))
-    ties = lists.join(heads, "list").where("rep <> head").groupBy("rep", "head").agg(F.sum("weight").alias("overlap"))
-    star = cut(ties.groupBy("rep").agg(F.max(F.struct("overlap", "head"))["head"].alias("head")), "minhash-star")
+    ties = lists.join(heads, "list").where("rep <> head").groupBy(F.col("rep").alias("a"), F.col("head").alias("b")).agg(F.sum("weight").alias("overlap"))
+    star = cut(possible(ties).groupBy(F.col("a").alias("rep")).agg(F.max(F.struct("overlap", "b"))["b"].alias("head")), "minhash-star")
     hot = star.groupBy("head").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
     sub = F.xxhash64("head", "part").alias("sub")
     others = star.join(hot, "head").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).select(sub, F.lit(1).alias("side"), "rep")
     homes = hot.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(sub, F.lit(0).alias("side"), F.col("head").alias("rep"))
     dealt = others.unionByName(homes).select("sub", F.lit(0).alias("large"), "side", F.lit(False).alias("same"), "rep")
-    first = cut(components(_found(dealt, sets, percent)), "minhash-first")
+    first = cut(components(_found(dealt, sets_of(dealt), percent)), "minhash-first")
     # Lists of several components.
-    known = lists.join(first, F.col("rep") == F.col("node"), "left").select("list", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    mixed = known.groupBy("list").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.min("rep").alias("b")).where("least < most").select("list", "b")
-    open_ = cut(known.join(mixed, "list").select("rep", "n", "c", "b"), "minhash-open")
-    clusters = components(open_.select(F.col("rep").alias("a"), "b").where("a <> b").distinct())
+    known = lists.join(first, F.col("rep") == F.col("node"), "left").select("list", "rep", "n", "weight", F.coalesce("component", "rep").alias("c"))
+    mixed = known.groupBy("list").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.min("rep").alias("b"), F.count("*").alias("members")).where("least < most")
+    open_ = cut(known.join(mixed.select("list", "b", "members"), "list"), "minhash-open")
+    short = open_.where(F.col("members") <= short_list)
+    task = F.pmod(F.xxhash64("list"), F.lit(max(1, short.count() // 20_000))).alias("task")
+    pairs = short.select(task, "list", "rep", "n", "c", "weight").groupBy("task").applyInArrow(_overlaps(percent), "a long, b long, overlap long").groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
+    ties = possible(pairs).select("a", "b").unionByName(open_.where((F.col("members") > short_list) & (F.col("rep") != F.col("b"))).select(F.col("rep").alias("a"), "b"))
+    clusters = components(ties)
     placed = open_.select("rep", "n", "c").distinct().join(clusters, F.col("rep") == F.col("node")).select(F.col("component").alias("cluster"), "rep", "n", "c")
     placed = cut(placed, "minhash-placed")
     major = placed.groupBy("cluster", "c").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max(F.struct("k", "c"))["c"].alias("major"))
     cell = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * (1 + 1e-9))).cast("int").alias("cell")
     placed = placed.join(major, "cluster").select("cluster", cell, "rep", (F.col("c") != F.col("major")).alias("minor"))
-    second = _found(_tile_tasks(placed, tile), sets, percent)
+    second = _found(_tile_tasks(placed, tile), sets_of(placed), percent)
     groups = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second))
     named = classes.drop("node").join(groups, F.col("rep") == F.col("node"), "left")
     named = named.select(F.col("_set").alias("s"), F.coalesce("component", "rep").alias("component_id"))
