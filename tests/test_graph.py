@@ -168,12 +168,102 @@ def test_whole_part_graph(spark, sf_dir):
             for v, more in near.get(u, {}).items():
                 heapq.heappush(heap, (c + more, v))
     run = catalogue.queries()
-    assert {r.id: r.component for r in run["components_whole"](spark, sf_dir).collect()} == comp
-    assert {r.node: r.traversal_agg_cost for r in run["driving_distance_whole"](spark, sf_dir).collect()} == {k: c for k, c in far.items() if c <= 120}
+    assert {r.id: r.component for r in run["components"](spark, sf_dir).collect()} == comp
+    assert {r.node: r.traversal_agg_cost for r in run["driving_distance"](spark, sf_dir).collect()} == {k: c for k, c in far.items() if c <= catalogue.DISTANCE}
     assert {r.end: r.cost for r in run["dijkstra"](spark, sf_dir).collect()} == {k: c for k, c in far.items() if k != start}
-    found = run["ksp"](spark, sf_dir).orderBy("rank").collect()
-    assert len(found) == 3 and found[0].traversal_agg_cost == far[found[0].path[-1]]
-    assert all(len(set(r.path)) == len(r.path) and sum(near[a][b] for a, b in zip(r.path, r.path[1:])) == r.traversal_agg_cost for r in found)
+    leaves = run["driving_paths"](spark, sf_dir).collect()
+    assert leaves and all(r.traversal_agg_cost == far[r.node] and r.nodes >= 2 for r in leaves)
+    found = run["ksp"](spark, sf_dir).collect()
+    assert {r.end for r in found} and all(r.traversal_agg_cost == far[r.end] for r in found if r.rank == 1)
+    assert all(r.path[0] == start and r.path[-1] == r.end and len(set(r.path)) == len(r.path) and sum(near[a][b] for a, b in zip(r.path, r.path[1:])) == r.traversal_agg_cost for r in found)
+
+
+def test_paths_of_several_pairs(spark):
+    """ksp_pairs and driving_paths against all loopless paths of a small random graph."""
+    import random
+
+    rng, cost = random.Random(8), {}
+    for _ in range(26):
+        u, v = rng.randrange(9), rng.randrange(9)
+        if u != v:
+            cost[u, v] = float(rng.randrange(1, 6))
+
+    def walks(path, c):
+        yield path, c
+        for (u, v), more in cost.items():
+            if u == path[-1] and v not in path:
+                yield from walks([*path, v], c + more)
+
+    every = [(p, c) for s in range(9) for p, c in walks([s], 0.0)]
+    e = spark.createDataFrame([(u, v, c) for (u, v), c in cost.items()], "src long, dst long, cost double")
+    pairs = [(0, 5), (0, 7), (3, 1), (8, 2), (4, 4)]
+    got = {}
+    for r in algorithms.ksp_pairs(e, spark.createDataFrame(pairs, "start long, end long"), 3).collect():
+        got.setdefault((r.start, r.end), {})[r.rank] = (r.traversal_agg_cost, len(r.path), list(r.path))
+    for s, t in pairs:
+        want = sorted((c, len(p), p) for p, c in every if p[0] == s and p[-1] == t and s != t)[:3]
+        assert [got.get((s, t), {})[k] for k in sorted(got.get((s, t), {}))] == want
+    best = {}
+    for p, c in every:
+        key = (p[0], p[-1])
+        best[key] = min(best.get(key, (c, len(p))), (c, len(p)))
+    for r in algorithms.driving_paths(e, spark.createDataFrame([(0,), (3,)], "id long"), 7.0).collect():
+        assert (r.traversal_agg_cost, len(r.path)) == best[r.start, r.end] and r.path[0] == r.start and r.path[-1] == r.end
+        assert sum(cost[a, b] for a, b in zip(r.path, r.path[1:])) == r.traversal_agg_cost <= 7.0
+
+
+def test_names_outlive_dedup(modern):
+    t = modern.traversal().V().has_label("person").as_("p").out("created").dedup()
+    assert names(t.table(name=".name"), "name") == ["lop", "ripple"] and t.select("p").count().first()["count"] == 2
+    with pytest.raises(KeyError):
+        t.select("q")
+    both = modern.traversal().V().has_label("person").union(__.out("created"), __.out("knows").out("created")).dedup()
+    assert names(both.table(name=".name"), "name") == ["lop", "ripple"]
+
+
+def test_steps_on_results(modern, spark):
+    t = modern.traversal().V()
+    people = t.has_label("person")
+    assert names(people.limit(9).table(name=".name"), "name") == ["josh", "marko", "peter", "vadas"]
+    assert names(t.order(".name").limit(3).table(name=".name"), "name") == ["josh", "lop", "marko"]
+    assert [r.name for r in t.order("-.name").table(name=".name").collect()] == ["vadas", "ripple", "peter", "marko", "lop", "josh"]
+    assert len({tuple(r.name for r in t.order(shuffle=k).table(name=".name").collect()) for k in range(6)}) > 1
+    assert [r.name for r in people.order(__.out("created").count(), ".name").table(name=".name").collect()] == ["vadas", "marko", "peter", "josh"]
+    assert names(people.then("group_count", ".age").has("count", P.gte(1)).table(key=".key"), "key") == [27, 29, 32, 35]
+    assert {r.name: r.w for r in people.as_("p").local_reduce(__.out_e("created").values("weight"), "max").table(name="p.name", w=".value").collect()} == {"marko": 0.4, "josh": 1.0, "peter": 0.2}
+    assert people.has("name", "josh").out("created").path_value().table(value=".value").first()[0][0].startswith("person:")
+    assert not t.has("name", "nobody").has_next().first()[0] and t.has_next().first()[0]
+    assert names(t.has_label(P.without("person", "x")).table(name=".name"), "name") == ["lop", "ripple"]
+    with pytest.raises(TypeError):
+        t.has_label(P.gt("a"))
+    left = people.has("name", "marko").drop()
+    assert left.count_vertices() == 5 and left.count_edges() == 3
+    assert modern.traversal().E("knows").drop().count_edges() == 4
+    assert people.has("name", "marko").values("age").drop().traversal().V().has_label("person").has("age").count().first()["count"] == 3
+    services.register("twice", lambda rows, times=2: rows.select("id", (rows["id"] * times).alias("v")))
+    assert names(people.call("twice", times=3).table(value=".value"), "value") == [3, 6, 12, 18]
+    with pytest.raises(ValueError):
+        modern.traversal().call("twice")
+    assert names(people.values("age").math("abs(_) + bit_count(_)").table(value=".value"), "value") == [31, 33, 33, 38]
+    merged = modern.merge_vertices("person", spark.createDataFrame([(1, "a"), (1, "b"), (9, "c"), (9, "d")], "id long, name string"), "id")
+    assert names(merged.traversal().V().has_label("person").table(name=".name"), "name") == ["b", "d", "josh", "peter", "vadas"]
+    edges = modern.merge_edges("knows", "person", "person", spark.createDataFrame([(1, 2), (2, 1), (2, 1)], "src long, dst long"))
+    assert edges.count_edges() == 7
+
+
+def test_fulltext(spark):
+    from weftgraph.functions.predicates import FullText
+    from weftgraph.plans.catalog import PropertyGraph
+
+    rows = [(1, "Un été à Paris", "fr"), (2, "日本 語 text", "ja"), (3, "the quick brown fox", "en"), (4, "the brown quick_one", "en"), (5, None, "en")]
+    t = PropertyGraph(spark).vertex("d", spark.createDataFrame(rows, "id long, text string, lang string")).traversal().V()
+    found = lambda p: names(t.has("text", p).table(id=".id"), "id")
+    assert found(FullText.match("ÉTÉ paris")) == [1] and found(FullText.match("日本")) == [2] and found(FullText.match("the en", columns=("lang",))) == [3, 4]
+    assert found(FullText.query("the & (fox | quick_one)")) == [3, 4] and found(FullText.query("the & !fox")) == [4] and found(FullText.query("quick <-> brown")) == [3]
+    assert found(FullText.query("qui:* | été")) == [1, 3, 4]
+    for wrong in ("", "a &", "(a", "a b"):
+        with pytest.raises(ValueError):
+            FullText.query(wrong)
 
 
 def test_loops_end_whole_or_raise(spark):

@@ -11,22 +11,28 @@ from weftgraph.functions import vectors
 
 
 class P:
-    """A predicate. ``values`` is the list of a within/without, which the planner may turn into a join."""
+    """A predicate. ``values`` is the list of a within/without, which the planner may turn into a join. ``plain``: the same
+    test of a Python value, for what is known when a plan is built (labels)."""
 
-    def __init__(self, test, kind="test", values=None, absent=False):
-        self.test, self.kind, self.values, self.absent = test, kind, values, absent
+    def __init__(self, test, kind="test", values=None, absent=False, plain=None):
+        self.test, self.kind, self.values, self.absent, self._plain = test, kind, values, absent, plain
+
+    def plain(self, value) -> bool:
+        if self._plain is None:
+            raise TypeError("this predicate can't be applied to labels")
+        return self._plain(value)
 
     def __call__(self, col: Column, other=None) -> Column:
         return self.test(col, other)
 
     def __and__(self, p):
-        return P(lambda c, o: self(c, o) & p(c, o))
+        return P(lambda c, o: self(c, o) & p(c, o), plain=lambda x: self.plain(x) and p.plain(x))
 
     def __or__(self, p):
-        return P(lambda c, o: self(c, o) | p(c, o))
+        return P(lambda c, o: self(c, o) | p(c, o), plain=lambda x: self.plain(x) or p.plain(x))
 
     def __invert__(self):
-        return P(lambda c, o: ~self(c, o))
+        return P(lambda c, o: ~self(c, o), plain=lambda x: not self.plain(x))
 
     negate = __invert__
 
@@ -36,11 +42,11 @@ class P:
 
     @staticmethod
     def eq(v):
-        return P(lambda c, o: c.isNull() if v is None else c == v, absent=v is None)
+        return P(lambda c, o: c.isNull() if v is None else c == v, absent=v is None, plain=lambda x: x == v)
 
     @staticmethod
     def neq(v):
-        return P(lambda c, o: c.isNotNull() if v is None else c != v)
+        return P(lambda c, o: c.isNotNull() if v is None else c != v, plain=lambda x: x != v)
 
     @staticmethod
     def gt(v):
@@ -74,17 +80,17 @@ class P:
     @staticmethod
     def within(*values):
         vs = _flat(values)
-        return P(lambda c, o: c.isin(vs) if vs else F.lit(False), "within", vs)
+        return P(lambda c, o: c.isin(vs) if vs else F.lit(False), "within", vs, plain=lambda x: x in vs)
 
     @staticmethod
     def without(*values):
         """One value: as neq, which drops nulls. Several: an anti join, which keeps them."""
         vs = _flat(values)
         if not vs:
-            return P(lambda c, o: F.lit(True))
+            return P(lambda c, o: F.lit(True), plain=lambda x: True)
         if len(vs) == 1:
             return P.neq(vs[0])
-        return P(lambda c, o: F.coalesce(~c.isin(vs), F.lit(True)), "without", vs)
+        return P(lambda c, o: F.coalesce(~c.isin(vs), F.lit(True)), "without", vs, plain=lambda x: x not in vs)
 
     @staticmethod
     def ref(op: str, key: str):
@@ -113,11 +119,64 @@ class Text:
 
 
 class FullText:
-    @staticmethod
-    def match(query: str):
-        """All lower-cased tokens of the query are tokens of the text. No stemming and no operators."""
-        tokens = [t for t in query.lower().split() if t]
-        return P(lambda c, o: F.size(F.array_except(F.array(*map(F.lit, tokens)), F.split(F.lower(c), r"\W+"))) == 0 if tokens else F.lit(True))
+    """Token search. Tokens are runs of letters, marks, digits and underscores, lower-cased; no stemming. ``columns``: further
+    properties whose tokens count too (their order is that of the names)."""
+
+    GAP = r"[^\p{L}\p{M}\p{N}_]+"
+
+    @staticmethod
+    def _tokens(c, o, columns):
+        texts = [c, *(o(name) for name in columns)]
+        return F.split(F.lower(F.concat_ws(" ", *texts) if len(texts) > 1 else c), FullText.GAP)
+
+    @staticmethod
+    def match(query: str, columns=()):
+        """All tokens of the query are tokens of the text."""
+        tokens = [t for t in re.split(r"[^\w]+", query.lower()) if t]
+        return P(lambda c, o: F.size(F.array_except(F.array(*map(F.lit, tokens)), FullText._tokens(c, o, columns))) == 0 if tokens else F.lit(True))
+
+    @staticmethod
+    def query(query: str, columns=()):
+        """A boolean query: ``&``, ``|``, ``!``, parentheses, ``a <-> b`` (b follows a), ``word:*`` (a prefix)."""
+        parts = re.findall(r"<->|[&|!()]|\w+(?::\*)?", query.lower())
+
+        def parse(at):
+            def atom(at):
+                if at >= len(parts) or parts[at] in ("&", "|", ")", "<->"):
+                    raise ValueError(f"not a full-text query: {query}")
+                if parts[at] == "!":
+                    f, at = atom(at + 1)
+                    return (lambda t, f=f: ~f(t)), at
+                if parts[at] == "(":
+                    f, at = either(at + 1)
+                    if at >= len(parts) or parts[at] != ")":
+                        raise ValueError(f"not a full-text query: {query}")
+                    return f, at + 1
+                run = [parts[at]]
+                while at + 2 < len(parts) and parts[at + 1] == "<->":
+                    run, at = [*run, parts[at + 2]], at + 2
+                if len(run) > 1:
+                    phrase = " " + " ".join(run) + " "
+                    return (lambda t: F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" ")).contains(phrase)), at + 1
+                if run[0].endswith(":*"):
+                    return (lambda t, w=run[0][:-2]: F.exists(t, lambda x: x.startswith(w))), at + 1
+                return (lambda t, w=run[0]: F.array_contains(t, w)), at + 1
+
+            def chain(at, mark, part, join):
+                f, at = part(at)
+                while at < len(parts) and parts[at] == mark:
+                    g, at = part(at + 1)
+                    f = (lambda t, f=f, g=g: join(f(t), g(t)))
+                return f, at
+
+            both = lambda at: chain(at, "&", atom, lambda x, y: x & y)
+            either = lambda at: chain(at, "|", both, lambda x, y: x | y)
+            return either(at)
+
+        test, end = parse(0)
+        if end != len(parts):
+            raise ValueError(f"not a full-text query: {query}")
+        return P(lambda c, o: test(FullText._tokens(c, o, columns)))
 
 
 class Arrays:

@@ -135,22 +135,49 @@ class PropertyGraph:
         old = F.col(name) if name in v.df.columns else F.lit(None)
         return self.vertex(label, v.df.withColumn(name, value if where is None else F.when(where, value).otherwise(old)), v.keys)
 
+    def set_edge_property(self, label: str, name: str, value: Column, where: Column | None = None) -> PropertyGraph:
+        """Sets a property (a null removes it) of the edges of a label, between whatever vertices, that meet the condition."""
+
+        def one(e):
+            if name in (*e.src, *e.dst, *e.keys):
+                raise ValueError(f"{name} is no property")
+            old = F.col(name) if name in e.df.columns else F.lit(None)
+            return dataclasses.replace(e, df=e.df.withColumn(name, value if where is None else F.when(where, value).otherwise(old)))
+
+        return self._with(edges=tuple(one(e) if e.label == label else e for e in self.edges))
+
+    def remove_property(self, label: str, name: str, ids: DataFrame) -> PropertyGraph:
+        """Sets a property to null for the vertices whose key is in ``ids`` (id)."""
+        v = self.vertices[label]
+        marked = ids.select(F.col("id").alias("_gone")).distinct().withColumn("_x", F.lit(True))
+        df = v.df.join(marked, v.id() == F.col("_gone"), "left").withColumn(name, F.when(F.col("_x"), None).otherwise(F.col(name)))
+        return self.vertex(label, df.select(*v.df.columns), v.keys)
+
     def merge_vertices(self, label: str, rows: DataFrame, on) -> PropertyGraph:
-        """Updates the vertices that ``rows`` matches on the columns ``on`` and appends the rest."""
+        """Updates the vertices that ``rows`` matches on the columns ``on`` and appends the rest. Of rows that repeat a key the
+        greatest counts, by their other columns in order (nulls least)."""
         v, on = self.vertices[label], list(_tuple(on))
         new = [c for c in rows.columns if c not in on]
+        if new:
+            rows = rows.groupBy(*on).agg(F.max(F.struct(*new)).alias("_r")).select(*on, *(F.col(f"_r.{c}").alias(c) for c in new))
+        else:
+            rows = rows.distinct()
         side = rows.select(*(F.col(c).alias(f"_m_{c}") for c in rows.columns), F.lit(True).alias("_m"))
         match = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_m_{c}")) for c in on))
         joined = v.df.join(side, match, "left")
         keep = [F.when(F.col("_m"), F.col(f"_m_{c}")).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in v.df.columns]
         extra = [F.col(f"_m_{c}").alias(c) for c in new if c not in v.df.columns]
         updated = joined.select(*keep, *extra)
-        missing = rows.join(v.df.select(*on), on, "left_anti")
+        have = v.df.select(*(F.col(c).alias(f"_m_{c}") for c in on))
+        missing = rows.join(have, match, "left_anti")
         return self.vertex(label, updated.unionByName(missing, allowMissingColumns=True), v.keys)
 
     def merge_edges(self, label: str, src_label: str, dst_label: str, rows: DataFrame) -> PropertyGraph:
-        """Appends the edges (src, dst, properties) between ends that no edge of this label joins yet."""
+        """Appends the edges (src, dst, properties) between ends that no edge of this label joins yet; of rows that repeat a
+        pair of ends the greatest, by their properties in order (nulls least)."""
         found = [e for e in self.edges if (e.label, e.src_label, e.dst_label) == (label, src_label, dst_label)]
+        props = [c for c in rows.columns if c not in ("src", "dst")]
+        rows = rows.groupBy("src", "dst").agg(F.max(F.struct(*props)).alias("_r")).select("src", "dst", *(F.col(f"_r.{c}").alias(c) for c in props)) if props else rows.distinct()
         if found:
             e = found[0]
             have = e.df.select(columns_id(e.src, self.vertices[src_label].keys).alias("src"), columns_id(e.dst, self.vertices[dst_label].keys).alias("dst"))
@@ -176,6 +203,14 @@ class PropertyGraph:
     def drop_edges(self, label: str, where: Column) -> PropertyGraph:
         return self._with(edges=tuple(dataclasses.replace(e, df=e.df.where(~F.coalesce(where, F.lit(False)))) if e.label == label else e for e in self.edges))
 
+    def drop_edge_rows(self, table: EdgeTable, ids: DataFrame) -> PropertyGraph:
+        """Without the edges of one table whose id (key columns, or ends and properties, as a struct) is in ``ids`` (id)."""
+        names = table.keys or (*table.src, *table.dst, *table.properties)
+        gone = ids.select(*(F.col(f"id.{n}").alias(f"_g_{n}") for n in names)).distinct()
+        on = reduce(lambda a, b: a & b, (F.col(n).eqNullSafe(F.col(f"_g_{n}")) for n in names))
+        same = lambda e: (e.label, e.src_label, e.dst_label) == (table.label, table.src_label, table.dst_label)
+        return self._with(edges=tuple(dataclasses.replace(e, df=e.df.join(gone, on, "left_anti")) if same(e) else e for e in self.edges))
+
     def rename_label(self, old: str, new: str) -> PropertyGraph:
         vs = {(new if k == old else k): (dataclasses.replace(v, label=new) if k == old else v) for k, v in self.vertices.items()}
         swap = lambda x: new if x == old else x
@@ -196,9 +231,27 @@ class PropertyGraph:
         return self.vertices[label].df.groupBy(*columns).count().where("count > 1")
 
     def count_vertices(self) -> int:
-        return sum(v.df.count() for v in self.vertices.values())
+        return self._rows(v.df for v in self.vertices.values())
 
     def count_edges(self) -> int:
-        return sum(e.df.count() for e in self.edges)
-
-
+        return self._rows(e.df for e in self.edges)
+
+    @staticmethod
+    def _rows(frames) -> int:
+        """One job over all tables."""
+        parts = [df.select(F.lit(1).alias("x")) for df in frames]
+        return reduce(DataFrame.unionByName, parts).count() if parts else 0
+
+    def sql(self, query: str) -> DataFrame:
+        """A SQL query over the label tables: ``V_<label>``, and ``E_<from>_<label>_<to>`` with the ends as src and dst."""
+        for v in self.vertices.values():
+            v.df.createOrReplaceTempView(f"V_{v.label}")
+        for e in self.edges:
+            src, dst = columns_id(e.src, self.vertices[e.src_label].keys), columns_id(e.dst, self.vertices[e.dst_label].keys)
+            e.df.select(src.alias("src"), dst.alias("dst"), *e.properties).createOrReplaceTempView(f"E_{e.src_label}_{e.label}_{e.dst_label}")
+        return self.spark.sql(query)
+
+    def sql_json(self, query: str) -> DataFrame:
+        """As sql(), a JSON text for each row (value)."""
+        rows = self.sql(query)
+        return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))

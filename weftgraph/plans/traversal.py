@@ -9,12 +9,15 @@ is joined only when a property of it is used, if the graph declares its edges' e
 from __future__ import annotations
 
 import dataclasses
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftgraph.functions.predicates import P
+from weftgraph.operators import services
 from weftgraph.plans.catalog import PropertyGraph, columns_id
 from weftgraph.plans.storage import cut
 
@@ -75,6 +78,7 @@ class Steps:
 
 __ = Steps()
 HOPS = {"out", "in_", "both"}
+REDUCERS = {"count": F.count, "max": F.max, "min": F.min, "sum": F.sum, "mean": F.avg}
 FILTERS = {"has", "has_not", "has_label", "has_id", "has_key", "and_", "or_", "not_", "loops", "where"}
 
 
@@ -91,13 +95,29 @@ class GraphSource:
         t = Traversal(self.graph, branches)
         return t.has_id(P.within(*ids)) if ids else t
 
-    def E(self, *labels) -> Traversal:
+    def E(self, *labels, ids=()) -> Traversal:
+        """All edges, or those of the given labels. ``ids``: dicts of values of an edge's key columns (or, where it has none, of
+        its ends and properties); a plain value is that of a single key column. Labels without these columns have none."""
         branches = []
         for e in self.graph.edges:
-            if not labels or e.label in labels:
-                branches.append(Branch(_edge_frame(self.graph, e, "p0__", True), (Pos("edge", e.label, e, "p0__", origin="out"),), {}))
+            if labels and e.label not in labels:
+                continue
+            b = Branch(_edge_frame(self.graph, e, "p0__", True), (Pos("edge", e.label, e, "p0__", origin="out"),), {})
+            if ids:
+                fields = b.df.schema["p0__id"].dataType.names
+                wanted = [x if isinstance(x, dict) else {fields[0]: x} for x in ids if x is not None and (isinstance(x, dict) or len(fields) == 1)]
+                wanted = [x for x in wanted if set(x) <= set(fields)]
+                if not wanted:
+                    continue
+                one = [reduce(lambda p, q: p & q, (F.col(f"p0__id.{k}") == F.lit(v) for k, v in x.items())) for x in wanted]
+                b = b.where(reduce(lambda p, q: p | q, one))
+            branches.append(b)
         return Traversal(self.graph, branches)
 
+    def call(self, service: str, **parameters) -> Traversal:
+        """Starts with the rows of a service of kind "start"."""
+        return Traversal(self.graph, []).follow(services.call(service, None, kind="start", graph=self.graph, **parameters))
+
     def inject(self, *values) -> Traversal:
         df = self.graph.spark.createDataFrame([(v,) for v in values], ["p0__value"])
         return Traversal(self.graph, [Branch(df, (Pos("value", None, None, "p0__"),), {})])
@@ -119,8 +139,8 @@ class Traversal:
     """``branches``: a list, or a function that builds it when first asked for. ``merged``: a function that builds the same
     rows merged by their last element, with their number in ``_bulk``, for results that don't need the paths."""
 
-    def __init__(self, graph: PropertyGraph, branches, scope=None, merged=None):
-        self.graph, self.scope, self._merged = graph, scope, merged
+    def __init__(self, graph: PropertyGraph, branches, scope=None, merged=None, ordered=()):
+        self.graph, self.scope, self._merged, self.ordered = graph, scope, merged, tuple(ordered)
         self._branches = branches if callable(branches) else list(branches)
 
     @property
@@ -130,7 +150,7 @@ class Traversal:
         return self._branches
 
     def _new(self, branches) -> Traversal:
-        return Traversal(self.graph, branches, self.scope)
+        return Traversal(self.graph, branches, self.scope, ordered=self.ordered)
 
     def _each(self, f) -> Traversal:
         return self._new([x for b in self.branches for x in f(b)])
@@ -156,23 +176,29 @@ class Traversal:
     def _prop(self, b: Branch, k: int, name: str) -> tuple[Branch, Column | None]:
         """A property (or id, label, value) of a position; None where the label lacks it."""
         pos = b.path[k]
-        if name in ("id", "value") and pos.kind == "value":
-            return b, pos.id
+        if pos.kind == "value":
+            kind = b.df.schema[pos.prefix + "value"].dataType if name != "value" else None
+            if isinstance(kind, T.StructType) and name in kind.names:
+                return b, pos.id[name]
+            if isinstance(kind, T.MapType):
+                return b, F.element_at(pos.id, F.lit(name))
+            return b, pos.id if name in ("id", "value") else None
         if name == "label":
             return b, F.lit(pos.label)
-        if name == "id" and pos.kind == "vertex":
-            return b, pos.id
-        if pos.kind == "value":
-            return b, None
         if name == "id":
             return b, pos.id
+        if pos.kind == "vertex" and name in pos.table.keys:  # part of the id: no join
+            return b, pos.id if len(pos.table.keys) == 1 else pos.id[name]
         if name in pos.names() or (pos.kind == "vertex" and pos.hydrated and pos.prefix + name in b.df.columns):
             b = self._hydrate(b, k)
             return b, F.col(pos.prefix + name)
         return (b, F.col(pos.prefix + name)) if pos.prefix + name in b.df.columns else (b, None)
 
     def _spec(self, b: Branch, spec: str) -> tuple[Branch, Column | None]:
-        """``.name``: of the current position; ``x.name``: of the position named x; ``loops``; ``path``."""
+        """``.name``: of the current position; ``x.name``: of the position named x; ``loops``; ``path``; an anonymous traversal:
+        its count, max, min, sum or mean if it ends with one, else its least result."""
+        if isinstance(spec, Steps):
+            return self._child(b, spec)
         if spec == "loops":
             return b, F.lit(b.loops)
         if spec == "path":
@@ -182,6 +208,28 @@ class Traversal:
             return b, None
         return self._prop(b, b.names[at] if at else len(b.path) - 1, name)
 
+    def _child(self, b: Branch, steps: Steps) -> tuple[Branch, Column]:
+        """A column of what a child yields for each row: reduced by its last step, or the least."""
+        how = steps.steps[-1][0] if steps.steps and steps.steps[-1][0] in REDUCERS else None
+        child = Steps(steps.steps[:-1]) if how else steps
+        keys = self._keys(b, child)
+        seed = dataclasses.replace(b, df=b.df if len(keys) > 1 else b.df.dropDuplicates(keys))
+        name = f"_c{len(b.df.columns)}"
+        found = [x.df.select(*(F.col(k).alias("_s" + k) for k in keys), (F.lit(1) if how == "count" else x.here.id).alias("_v")) for x in self._run(child, [seed]).branches]
+        if not found:
+            return b, F.lit(0).cast("long") if how == "count" else F.lit(None)
+        rows = reduce(DataFrame.unionByName, found)
+        if len(keys) > 1:  # rows that repeat their keys would count twice
+            times = b.df.groupBy(*(F.col(k).alias("_s" + k) for k in keys)).agg(F.count("*").alias("_times"))
+            rows = rows.join(times, ["_s" + k for k in keys])
+            value = F.count("*") / F.max("_times") if how == "count" else F.sum("_v") / F.max("_times") if how == "sum" else REDUCERS.get(how, F.min)("_v")
+        else:
+            value = REDUCERS.get(how, F.min)("_v")
+        rows = rows.groupBy(*("_s" + k for k in keys)).agg((value.cast("long") if how == "count" else value).alias(name))
+        on = reduce(lambda x, y: x & y, (F.col(k) == F.col("_s" + k) for k in keys))
+        df = b.df.join(rows, on, "left").drop(*("_s" + k for k in keys))
+        return dataclasses.replace(b, df=df), F.coalesce(name, F.lit(0)) if how == "count" else F.col(name)
+
     # Filters
 
     def has(self, key, value=None, *rest) -> Traversal:
@@ -212,7 +260,8 @@ class Traversal:
         return self.has(key, P(lambda c, o: c.isNull(), absent=True))
 
     def has_label(self, *labels) -> Traversal:
-        return self._new([b for b in self.branches if b.here.label in labels])
+        """Names, or predicates over names."""
+        return self._new([b for b in self.branches if any(x.plain(b.here.label) if isinstance(x, P) else x == b.here.label for x in labels)])
 
     def without_label(self, *labels) -> Traversal:
         return self._new([b for b in self.branches if b.here.label not in labels])
@@ -343,19 +392,38 @@ class Traversal:
 
         return self._each(one)
 
-    def where_ab(self, a: str, op: str, b: str, by: str = "id") -> Traversal:
-        """Compares two named positions; elements of different labels are never equal."""
+    def where_ab(self, a: str, op: str, b: str, by="id") -> Traversal:
+        """Compares two named positions, by one property or one for each (a pair); elements of different labels are never equal."""
         ops = {"eq": lambda x, y: x == y, "neq": lambda x, y: x != y, "lt": lambda x, y: x < y, "lte": lambda x, y: x <= y, "gt": lambda x, y: x > y, "gte": lambda x, y: x >= y}
+        by_a, by_b = (by, by) if isinstance(by, str) else by
 
         def one(br):
+            self._known(a, b)
             if by == "id" and br.path[br.names[a]].label != br.path[br.names[b]].label:
                 return [br] if op == "neq" else []
-            br, x = self._spec(br, f"{a}.{by}")
-            br, y = self._spec(br, f"{b}.{by}")
+            br, x = self._spec(br, f"{a}.{by_a}")
+            br, y = self._spec(br, f"{b}.{by_b}")
             return [] if x is None or y is None else [br.where(ops[op](x, y))]
 
         return self._each(one)
 
+    def where_as(self, name: str, key: str, value) -> Traversal:
+        """Keeps rows whose named position has a property that meets any predicate (text, full text, arrays and others too)."""
+
+        def one(b):
+            self._known(name)
+            b, c = self._spec(b, f"{name}.{key}")
+            p, prefix = P.of(value), b.path[b.names[name]].prefix
+            return ([b] if p.absent else []) if c is None else [b.where(p(c, lambda n: F.col(prefix + n)))]
+
+        return self._each(one)
+
+    def _known(self, *names: str) -> None:
+        """Unknown names are an error; a name that only some branches have is none."""
+        for name in names:
+            if self.branches and all(name not in b.names for b in self.branches):
+                raise KeyError(f"no position is named {name}")
+
     def simple_path(self) -> Traversal:
         """No vertex twice. Checked step by step, so only the last vertex needs comparing inside a repeat."""
 
@@ -454,9 +522,26 @@ class Traversal:
     def as_(self, name: str) -> Traversal:
         return self._each(lambda b: [dataclasses.replace(b, names=b.names | {name: len(b.path) - 1})])
 
-    def select(self, name: str) -> Traversal:
-        """Goes back to a named position."""
-        return self._each(lambda b: [dataclasses.replace(b, path=(*b.path, b.path[b.names[name]]))] if name in b.names else [])
+    def select(self, *names: str, by=None) -> Traversal:
+        """Goes back to a named position. Several names: a value with a field for each, ``by``: a property of each, or one for
+        all; ids by default."""
+        self._known(*names)
+        if len(names) == 1 and by is None:
+            return self._each(lambda b: [dataclasses.replace(b, path=(*b.path, b.path[b.names[names[0]]]))] if names[0] in b.names else [])
+        each = dict.fromkeys(names, by or "id") if by is None or isinstance(by, str) else dict(zip(names, by, strict=True))
+        return self.project(**{n: f"{n}.{k}" for n, k in each.items()})
+
+    def project(self, **specs) -> Traversal:
+        """A value with a field for each spec; missing properties are null."""
+
+        def one(b):
+            fields = []
+            for name, spec in specs.items():
+                b, c = spec_column(self, b, spec)
+                fields.append((F.lit(None) if c is None else c).alias(name))
+            return b, F.struct(*fields)
+
+        return self._map(one)
 
     def values(self, *keys) -> Traversal:
         """A row per non-null property."""
@@ -467,7 +552,7 @@ class Traversal:
                 x, c = self._prop(b, len(b.path) - 1, key)
                 if c is not None:
                     prefix = f"p{len(b.path)}__"
-                    out.append(x.to(x.df.withColumn(prefix + "value", c).where(F.col(prefix + "value").isNotNull()), Pos("value", None, None, prefix)))
+                    out.append(x.to(x.df.withColumn(prefix + "value", c).where(F.col(prefix + "value").isNotNull()), Pos("value", None, None, prefix, origin=key)))
             return out
 
         if self._merged is None:
@@ -502,7 +587,7 @@ class Traversal:
 
     def math(self, expression: str) -> Traversal:
         """A SQL expression over ``_``, the current value."""
-        return self._map(lambda b: (b, F.expr(expression.replace("_", f"`{b.here.prefix}value`"))))
+        return self._map(lambda b: (b, F.expr(re.sub(r"\b_\b", f"`{b.here.prefix}value`", expression))))
 
     def _map(self, f) -> Traversal:
         def one(b):
@@ -540,6 +625,93 @@ class Traversal:
 
         return self._each(one)
 
+    # Values made of whole results
+
+    def follow(self, rows: DataFrame) -> Traversal:
+        """Goes on with the rows of a result as values: a single column, or a value with a field for each column."""
+        cols = rows.columns
+        df = rows.select((F.col(cols[0]) if len(cols) == 1 else F.struct(*cols)).alias("p0__value"))
+        return Traversal(self.graph, [Branch(df, (Pos("value", None, None, "p0__"),), {})])
+
+    def then(self, step: str, *arguments, **named) -> Traversal:
+        """Goes on after a step that ends a traversal: then("group_count", ".label").has("count", P.gt(3))."""
+        return self.follow(getattr(self, step)(*arguments, **named))
+
+    def unfold(self) -> Traversal:
+        """A row for each item of a list, or each entry (key, value) of a map."""
+
+        def one(b):
+            prefix = f"p{len(b.path)}__"
+            kind = b.df.schema[b.here.prefix + "value"].dataType if b.here.kind == "value" else None
+            if not isinstance(kind, (T.ArrayType, T.MapType)):
+                return [b]
+            items = F.map_entries(b.here.id) if isinstance(kind, T.MapType) else b.here.id
+            return [b.to(b.df.withColumn(prefix + "value", F.explode(items)), Pos("value", None, None, prefix))]
+
+        return self._each(one)
+
+    def path_value(self) -> Traversal:
+        """The path so far as a list of texts, row by row."""
+        return self._map(lambda b: (b, F.split(self._path(b), ">")))
+
+    def map_value(self, *keys) -> Traversal:
+        """id, label and properties of the current element as a map of texts, row by row; nulls are left out."""
+
+        def one(b):
+            b = self._hydrate(b, len(b.path) - 1)
+            names = [k for k in (keys or b.here.names()) if k in b.here.names()]
+            entries = [F.struct(F.lit("id").alias("key"), b.here.id.cast("string").alias("value")), F.struct(F.lit("label").alias("key"), F.lit(b.here.label).alias("value"))]
+            for k in names:
+                b, c = self._prop(b, len(b.path) - 1, k)
+                entries.append(F.struct(F.lit(k).alias("key"), c.cast("string").alias("value")))
+            return b, F.map_from_entries(F.filter(F.array(*entries), lambda x: x["value"].isNotNull()))
+
+        return self._map(one)
+
+    def identity(self) -> Traversal:
+        return self
+
+    def none(self) -> Traversal:
+        return self._each(lambda b: [b.where(F.lit(False))])
+
+    def flat_map(self, child: Steps) -> Traversal:
+        return self._each(lambda b: self._run(child, [b]).branches)
+
+    def side_effect(self, child: Steps) -> Traversal:
+        """The child is planned, so that its mistakes show, and its results are not used."""
+        self._run(child, self.branches)
+        return self
+
+    def call(self, service: str, **parameters) -> Traversal:
+        """The results of a service for the current vertices: of kind "streaming", (id, value) rows for the distinct ids of
+        each label; of kind "barrier", any rows for all elements (label, id) together, with which the traversal goes on."""
+        if services.kind(service) == "barrier":
+            return self.follow(services.call(service, self.table(label=".label", id=".id"), **parameters))
+
+        def one(b):
+            rows = services.call(service, b.df.select(b.here.id.alias("id")).distinct(), **parameters)
+            value = next(c for c in rows.columns if c != "id")
+            prefix = f"p{len(b.path)}__"
+            df = b.df.join(rows.select(F.col("id").alias("_call"), F.col(value).alias(prefix + "value")), b.here.id == F.col("_call")).drop("_call")
+            return [b.to(df, Pos("value", None, None, prefix))]
+
+        return self._each(one)
+
+    def drop(self) -> PropertyGraph:
+        """The graph without the current elements: vertices with the edges at them, edges, or (after values()) properties."""
+        graph = self.graph
+        for b in self.branches:
+            if b.here.kind == "vertex":
+                graph = graph.drop_vertices(b.here.label, b.df.select(b.here.id.alias("id")))
+            elif b.here.kind == "edge":
+                graph = graph.drop_edge_rows(b.here.table, b.df.select(b.here.id.alias("id")))
+            else:
+                owner = b.path[-2] if len(b.path) > 1 else None
+                if owner is None or owner.kind != "vertex" or not b.here.origin:
+                    raise ValueError("drop() of a value that is no property")
+                graph = graph.remove_property(owner.label, b.here.origin, b.df.select(owner.id.alias("id")))
+        return graph
+
     # Branching
 
     def union(self, *children: Steps) -> Traversal:
@@ -568,11 +740,11 @@ class Traversal:
 
         return self._each(one)
 
-    def branch(self, key: str, options: dict, none: Steps | None = None, any_: Steps | None = None) -> Traversal:
-        """Routes rows by a property's value; ``none`` takes the unmatched, ``any_`` all."""
+    def branch(self, key, options: dict, none: Steps | None = None, any_: Steps | None = None) -> Traversal:
+        """Routes rows by the value of a property or of an anonymous traversal; ``none`` takes the unmatched, ``any_`` all."""
 
         def one(b):
-            b, c = self._prop(b, len(b.path) - 1, key)
+            b, c = self._child(b, key) if isinstance(key, Steps) else self._prop(b, len(b.path) - 1, key)
             out = self._run(any_, [b]).branches if any_ else []
             if c is not None:
                 for value, steps in options.items():
@@ -590,18 +762,16 @@ class Traversal:
 
     def local_count(self, child: Steps) -> Traversal:
         """The number of the child's results for each row, 0 among them."""
+        return self.local_reduce(child, "count")
+
+    def local_reduce(self, child: Steps, how: str) -> Traversal:
+        """count, max, min, sum or mean of the child's results for each row; a row without results goes, but for its count."""
 
         def one(b):
-            keys = self._keys(b, Steps())
-            seed = dataclasses.replace(b, df=b.df.dropDuplicates(keys))
-            found = [x.df.select(*(F.col(k).alias("_s" + k) for k in keys)) for x in self._run(child, [seed]).branches]
+            b, c = self._child(b, Steps((*child.steps, (how, (), {}))))
             prefix = f"p{len(b.path)}__"
-            if not found:
-                return [b.to(b.df.withColumn(prefix + "value", F.lit(0).cast("long")), Pos("value", None, None, prefix))]
-            n = reduce(DataFrame.unionByName, found).groupBy(*("_s" + k for k in keys)).agg(F.count("*").alias(prefix + "n"))
-            on = reduce(lambda x, y: x & y, (F.col(k) == F.col("_s" + k) for k in keys))
-            df = b.df.join(n, on, "left").withColumn(prefix + "value", F.coalesce(prefix + "n", F.lit(0))).drop(prefix + "n", *("_s" + k for k in keys))
-            return [b.to(df, Pos("value", None, None, prefix))]
+            df = b.df.withColumn(prefix + "value", c)
+            return [b.to(df if how == "count" else df.where(F.col(prefix + "value").isNotNull()), Pos("value", None, None, prefix))]
 
         return self._each(one)
 
@@ -619,19 +789,20 @@ class Traversal:
         return t
 
     def dedup(self, *by: str) -> Traversal:
-        """Distinct current elements (or values); with ``by``, one row for each combination of specs."""
+        """Distinct current elements (or values), each with the path and the names of one of its rows; with ``by``, one row for
+        each combination of specs."""
         if by:
             return self._each(lambda b: [self._distinct(b, by)])
-        groups: dict = {}
+        out, seen = [], {}
         for b in self.branches:
-            pos = b.here
-            keep = [c for c in b.df.columns if c.startswith(pos.prefix)] if pos.kind != "vertex" else [pos.prefix + "id"]
-            df = b.df.select(*(F.col(c).alias("p0__" + c[len(pos.prefix) :]) for c in keep))
-            groups.setdefault((pos.kind, pos.label), []).append((df, pos))
-        out = []
-        for (kind, _), parts in groups.items():
-            df = reduce(DataFrame.unionByName, (p[0] for p in parts)).dropDuplicates(["p0__value" if kind == "value" else "p0__id"])
-            out.append(Branch(df, (dataclasses.replace(parts[0][1], prefix="p0__", hydrated=kind != "vertex"),), {}))
+            key = b.here.prefix + ("value" if b.here.kind == "value" else "id")
+            df = b.df.dropDuplicates([key])
+            earlier = seen.setdefault((b.here.kind, b.here.label), [])
+            if earlier:  # another branch with elements of this label
+                taken = reduce(DataFrame.unionByName, earlier)
+                df = df.join(taken, F.col(key).eqNullSafe(F.col("_taken")), "left_anti")
+            earlier.append(b.df.select(F.col(key).alias("_taken")).distinct())
+            out.append(dataclasses.replace(b, df=df))
         return self._new(out)
 
     def _distinct(self, b, by):
@@ -642,32 +813,57 @@ class Traversal:
             names.append(f"_d{k}")
         return dataclasses.replace(b, df=b.df.dropDuplicates(names).drop(*names))
 
+    def order(self, *by, shuffle: int | None = None) -> Traversal:
+        """The order of what follows: of limit(), and of the rows of table(). ``by``: specs (with "-" descending), functions from
+        a getter to a column, or anonymous traversals (see _spec); ``shuffle``: a seed for a hash of the path instead."""
+        by = by or (("." + "id",) if shuffle is None else (lambda get: F.xxhash64(F.lit(shuffle), get("path")),))
+        return Traversal(self.graph, self.branches, self.scope, ordered=by)
+
+    def _order(self, b: Branch, by) -> tuple[Branch, list[tuple[Column, bool]]]:
+        """(column, descending) of each spec."""
+        out = []
+        for spec in by:
+            down = isinstance(spec, str) and spec.startswith("-")
+            b, c = spec_column(self, b, spec[1:] if down else spec)
+            out.append((F.lit(None) if c is None else c, down))
+        return b, out
+
     def limit(self, n: int, by=(), skip=0) -> Traversal:
-        """Inside local(): for each row. Elsewhere: of one branch. Ordered by the specs and then by ids, so results repeat."""
-        if len(self.branches) > 1 and self.scope is None:
-            raise ValueError("a limit over several labels: use table(..., limit=n)")
+        """Inside local(): for each row. Ordered by the specs (or those of order()) and then by ids, so results repeat. Over several
+        labels, each gives up to skip + n rows, and the first of these together are kept."""
+        by = by or self.ordered
+
+        def sort(keys):
+            return [c.desc_nulls_first() if down else c.asc_nulls_last() for c, down in keys]
 
         def one(b):
-            order = []
-            for spec in by:
-                down, spec = spec.startswith("-"), spec.lstrip("-")
-                b, c = self._spec(b, spec)
-                order.append(c.desc_nulls_first() if down else c.asc_nulls_last())
-            order += [p.id for p in b.path[::-1]]
+            b, keys = self._order(b, by)
+            order = [*sort(keys), *(p.id for p in b.path[::-1])]
             if self.scope is None:
                 return [dataclasses.replace(b, df=b.df.orderBy(*order).offset(skip).limit(n))]
             w = Window.partitionBy(*self.scope).orderBy(*order)
             df = b.df.withColumn("_rn", F.row_number().over(w)).where((F.col("_rn") > skip) & (F.col("_rn") <= skip + n)).drop("_rn")
             return [dataclasses.replace(b, df=df)]
 
-        return self._each(one)
+        if len(self.branches) <= 1 or self.scope is not None:
+            return self._each(one)
+        first, ranks = [], []
+        for k, b in enumerate(self.branches):
+            b, keys = self._order(b, by)
+            order = [*sort(keys), *(p.id for p in b.path[::-1])]
+            top = b.df.orderBy(*order).limit(skip + n).withColumn("_rn", F.row_number().over(Window.orderBy(*order)))  # skip + n rows
+            first.append(dataclasses.replace(b, df=top))
+            ranks.append(top.select(F.lit(k).alias("_b"), "_rn", *(c.alias(f"_o{i}") for i, (c, _) in enumerate(keys))))
+        names = [(F.col(f"_o{i}"), isinstance(x, str) and x.startswith("-")) for i, x in enumerate(by)]
+        kept = reduce(DataFrame.unionByName, ranks).orderBy(*sort(names), "_b", "_rn").offset(skip).limit(n).select(F.col("_b").alias("_kb"), F.col("_rn").alias("_kr"))
+        return self._new([dataclasses.replace(b, df=b.df.join(kept.where(F.col("_kb") == k), F.col("_rn") == F.col("_kr"), "left_semi").drop("_rn")) for k, b in enumerate(first)])
 
     # Repeat
 
-    def repeat(self, body: Steps, times=None, until: Steps | None = None, emit=None, until_first=False, emit_first=False, most=10_000, cut_every=4) -> Traversal:
+    def repeat(self, body: Steps, times=None, until: Steps | None = None, emit=None, until_first=False, emit_first=False, most=100_000) -> Traversal:
         """do-while unless ``until_first``. ``emit``: True or a filter. Rows that dead-end without meeting ``until`` are
-        dropped. With ``until``, the frontier is written every ``cut_every`` rounds and its emptiness ends the loop; rows
-        still on their way after ``most`` rounds are an error. ``times`` rounds are run whatever their number.
+        dropped. With ``until``, each round's rows are written once, as ids with their flag, and an empty frontier ends the loop;
+        rows still on their way after ``most`` rounds are an error. ``times`` rounds are run whatever their number.
 
         With ``times`` alone and a body of plain hops, count, max and min of what follows go by merged rows: neither the
         plan nor the frontier grows with the number of paths."""
@@ -676,23 +872,44 @@ class Traversal:
         plain = until is None and emit is None and times and self.scope is None and body.steps
         if plain and all(name in HOPS for name, _, _ in body.steps) and all(b.here.kind == "vertex" for b in self.branches):
             return Traversal(self.graph, lambda: self._repeated(body, times).branches, merged=lambda: self._bulk(body, times))
-        return self._repeated(body, times, until, emit, until_first, emit_first, most, cut_every)
-
-    def _repeated(self, body, times, until=None, emit=None, until_first=False, emit_first=False, most=10_000, cut_every=4) -> Traversal:
+        return self._repeated(body, times, until, emit, until_first, emit_first, most)
+
+    def _narrow(self, b: Branch) -> Branch:
+        """Without the properties that can be joined again by the vertices' ids."""
+        gone, path = set(), []
+        for pos in b.path:
+            if pos.kind == "vertex":
+                gone |= {pos.prefix + c for c in pos.table.df.columns if c != "id"}
+                pos = dataclasses.replace(pos, hydrated=False)
+            path.append(pos)
+        return dataclasses.replace(b, df=b.df.drop(*gone), path=tuple(path))
+
+    def _repeated(self, body, times, until=None, emit=None, until_first=False, emit_first=False, most=100_000) -> Traversal:
         out, now = [], [dataclasses.replace(b, loops=0) for b in self.branches]
         if times == 0:
             return self
+        bounded = times is not None and until is None
+        if not bounded:
+            now = [self._narrow(b) for b in now]
 
         def split(branches, steps):
+            """(rows that meet a child, the others), whose flag is written with them: the child runs once."""
             yes, no = [], []
             for b in branches:
-                b, f = self._flag(b, steps)
-                yes.append(b.where(f))
-                no.append(b.where(~f))
+                x, f = self._flag(b, steps)
+                slim = self._narrow(x)
+                keep = [c for c in slim.df.columns if not re.fullmatch(r"_[fc]\d+", c)]
+                x, flagged = slim, cut(x.df.select(*keep, f.alias("_yes")), "repeat")
+                x = dataclasses.replace(x, df=flagged)
+                yes.append(dataclasses.replace(x, df=flagged.where("_yes").drop("_yes")))
+                no.append(dataclasses.replace(x, df=flagged.where("not _yes").drop("_yes")))
             return yes, no
 
         def emitted(branches):
-            return branches if emit is True else split(branches, emit)[0]
+            if emit is True:
+                return branches
+            flagged = [self._flag(b, emit) for b in branches]
+            return [b.where(f) for b, f in flagged]
 
         for depth in range(1, (most if times is None else times) + 1):
             if until is not None and until_first:
@@ -707,16 +924,16 @@ class Traversal:
             if until is not None and not until_first:
                 done, now = split(now, until)
                 out += done
+            elif not bounded:
+                now = [dataclasses.replace(b, df=cut(self._narrow(b).df, "repeat"), path=self._narrow(b).path) for b in now]
             if emit is not None and not emit_first:
                 out += emitted(now)
-            if until is not None or times is None:
-                if depth % cut_every == 0:
-                    now = [dataclasses.replace(b, df=cut(b.df)) for b in now]
+            if not bounded:
                 now = [b for b in now if not b.df.isEmpty()]
                 if not now:
                     break
             elif depth % 16 == 0:
-                now = [dataclasses.replace(b, df=cut(b.df)) for b in now]
+                now = [dataclasses.replace(b, df=cut(b.df, "repeat")) for b in now]
         else:
             raise RuntimeError(f"rows left after {most} rounds of a repeat")
         return self._new(out)
@@ -748,12 +965,15 @@ class Traversal:
 
     def table(self, order=(), limit=None, skip=0, tail=None, distinct=False, **columns) -> DataFrame:
         """A row per result: columns are specs. ``order``: output columns, "-" for descending; nulls last ascending."""
-        parts = []
+        parts, hidden = [], [] if order else [f"_order{k}" for k in range(len(self.ordered))]
         for b in self.branches:
             cols = []
             for name, spec in columns.items():
                 b, c = spec_column(self, b, spec)
                 cols.append((F.lit(None) if c is None else c).alias(name))
+            if hidden:
+                b, by = self._order(b, self.ordered)
+                cols += [c.alias(n) for n, (c, _) in zip(hidden, by, strict=True)]
             parts.append(b.df.select(*cols))
         if not parts:
             return self.graph.spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns))
@@ -761,8 +981,10 @@ class Traversal:
         if distinct:
             out = out.distinct()
         keys = [(k.lstrip("-"), k.startswith("-") != (tail is not None)) for k in order]
+        keys += [(n, (isinstance(x, str) and x.startswith("-")) != (tail is not None)) for n, x in zip(hidden, self.ordered, strict=False)]
         if keys:
             out = out.orderBy(*(F.col(k).desc_nulls_first() if down else F.col(k).asc_nulls_last() for k, down in keys))
+        out = out.drop(*hidden)
         if skip:
             out = out.offset(skip)
         return out.limit(tail if tail is not None else limit) if tail is not None or limit is not None else out
@@ -850,6 +1072,14 @@ class Traversal:
         aggs = [(F.count("*") if spec is None else fs[f](F.col(f"_a{k}"))).alias(name) for k, (name, (f, spec)) in enumerate(aggregates.items())]
         return rows.groupBy(*by).agg(*aggs)
 
+    def group_nested(self, outer, inner, **aggregate) -> DataFrame:
+        """key, value: for each outer key a map from inner keys to one aggregate (name=(function, spec)). Inner keys with null
+        are left out; their number for one outer key bounds the row."""
+        ((name, _),) = aggregate.items()
+        flat = self.group({"key": outer, "_inner": inner}, **aggregate).where("_inner is not null")
+        entries = F.sort_array(F.collect_list(F.struct(F.col("_inner").alias("key"), F.col(name).alias("value"))))
+        return flat.groupBy("key").agg(F.map_from_entries(entries).alias("value"))
+
     def group_count(self, by) -> DataFrame:
         return self.group(by, count=("count", None))
 
@@ -857,10 +1087,18 @@ class Traversal:
         """value: the sorted list of all; bounded use only, as the list lies in one row."""
         return self.table(value=spec).agg(F.sort_array(F.collect_list("value")).alias("value"))
 
+    def has_next(self) -> DataFrame:
+        """value: whether there is any result."""
+        parts = [b.df.select(F.lit(1).alias("x")).limit(1) for b in self.branches]
+        if not parts:
+            return self.graph.spark.range(1).select(F.lit(False).alias("value"))
+        return reduce(DataFrame.unionByName, parts).limit(1).agg((F.count("*") > 0).alias("value"))
+
     def sample(self, n: int, seed=0, **columns) -> DataFrame:
         """n rows chosen by a seeded hash of their columns."""
         out = self.table(**columns)
-        return out.withColumn("_r", F.xxhash64(F.lit(seed), *(F.col(c).cast("string") for c in out.columns))).orderBy("_r", *columns).limit(n).drop("_r")
+        text = F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in out.columns))
+        return out.withColumn("_r", F.md5(text)).orderBy("_r", *columns).limit(n).drop("_r")
 
     def sack_sum(self, name: str, by: str) -> DataFrame:
         """key, value: sacks merged by a spec."""
@@ -881,6 +1119,6 @@ def spec_column(t: Traversal, b: Branch, spec):
 
         c = spec(get)
         return box["b"], c
-    if spec.startswith("sack:"):
+    if isinstance(spec, str) and spec.startswith("sack:"):
         return b, F.col(f"_sack_{spec[5:]}")
     return t._spec(b, spec)

@@ -14,13 +14,15 @@ def read_table(spark: SparkSession, path: str, schema=None, form="parquet", **op
     return (reader.schema(schema) if schema else reader).format(form).load(path)
 
 
-def write_graph(graph: PropertyGraph, path: str, form="parquet") -> None:
-    """Each label's table under ``path``/vertices and ``path``/edges."""
+def write_graph(graph: PropertyGraph, path: str, form="parquet", partition_by: dict[str, list[str]] | None = None) -> None:
+    """Each label's table under ``path``/vertices and ``path``/edges. ``partition_by``: for a label, the properties whose values
+    are folders, so that predicates on them skip files."""
+    parts = partition_by or {}
     for v in graph.vertices.values():
-        v.df.write.format(form).save(f"{path}/vertices/{v.label}")
+        v.df.write.format(form).partitionBy(*parts.get(v.label, [])).save(f"{path}/vertices/{v.label}")
     for e in graph.edges:
         src, dst = columns_id(e.src, graph.vertices[e.src_label].keys), columns_id(e.dst, graph.vertices[e.dst_label].keys)
-        e.df.select(src.alias("src"), dst.alias("dst"), *e.properties).write.format(form).save(f"{path}/edges/{e.src_label}-{e.label}-{e.dst_label}")
+        e.df.select(src.alias("src"), dst.alias("dst"), *e.properties).write.format(form).partitionBy(*parts.get(e.label, [])).save(f"{path}/edges/{e.src_label}-{e.label}-{e.dst_label}")
 
 
 def read_graph(spark: SparkSession, path: str, vertices: dict[str, str], edges: list[tuple[str, str, str]], form="parquet") -> PropertyGraph:

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def append(stream: DataFrame, path: str, checkpoint: str, key: list[str] | None = None, available_now=True):
+def append(stream: DataFrame, path: str, checkpoint: str, key: list[str] | None = None, available_now=True, id_col: str | None = None):
     """Starts a query that appends a stream of rows to a label table. With ``key``, rows whose key repeats inside a batch are
-    written once. Each batch has a folder of its own (``batch=<n>``), which a retried batch overwrites."""
+    written once. Each batch has a folder of its own (``batch=<n>``), which a retried batch overwrites. With ``id_col``, rows
+    get ids that no other row of the table has: the batch's number above 44 bits of place (2,048 partitions of 2^33 rows)."""
 
     def write(rows: DataFrame, n: int) -> None:
         rows = rows.dropDuplicates(key) if key else rows
+        rows = rows.withColumn(id_col, F.lit(n << 44) + F.monotonically_increasing_id()) if id_col else rows
         rows.write.mode("overwrite").parquet(f"{path}/batch={n}")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
