@@ -208,9 +208,32 @@ def test_licenses(spark):
     assert license_scan.scan(d).count() == len(rows) + 2 * 0 and license_scan.scan(d.where("false")).count() == 0
 
 
+def test_wrapped_headers_and_whole_files(spark):
+    gpl = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""
+    bsd = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:"""
+    mit = """// Permission is hereby granted, free of charge, to any person obtaining a copy
+// of this software and associated documentation files (the "Software"), to deal
+// in the Software without restriction, including without limitation the rights"""
+    apache = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License."""
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[k : k + n]) for k in range(0, len(t.split()), n))
+    code = "\nint main() { return 0; }\n" * 20
+    rows = [(k, f"src/{k}.c", code + t + code) for k, t in enumerate((gpl, bsd, mit, apache, "This program may be redistributed under other terms, see the manual."))]
+    rows += [(10, "a/LICENSE", "Copyright 2020 Somebody\n\n" + wrap(license_scan.MIT_TEXT, 11)), (11, "b/COPYING.txt", wrap(license_scan.TEXTS[2][1], 13)), (12, "c/LICENSE", wrap(license_scan.TEXTS[1][1], 9)), (13, "d/licence", wrap(license_scan.ISC_TEXT, 12))]
+    rows += [(20, "e/LICENSE", " \n\n"), (21, "f/LICENSE", None), (22, "g/x.c", "word " * 60_000), (23, "a/LICENSE", "MIT " * 60_000)]
+    got = {r.doc_id: r.license for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert [got[k] for k in range(5)] == ["GPL-3.0", "BSD-3-Clause", "MIT", "Apache-2.0", None]
+    assert [got[k] for k in (10, 11, 12, 13)] == ["MIT", "BSD-3-Clause", "BSD-2-Clause", "ISC"] and [got[k] for k in (20, 21, 22)] == [None, None, None]
+
+
 def test_anchors_lose_no_line():
     weights, idf, unseen, anchors = license_scan.fit(threshold=0.75)
-    for k in range(len(license_scan.TEMPLATES)):
+    for k in range(len(license_scan.TEMPLATES)):  # notices; whole texts need no anchor
         light = sum(w * w for t, term, w in weights if t == k and term not in anchors)
         assert light < 0.75**2
 
