@@ -65,6 +65,10 @@ def parse_record(data: bytes) -> dict:
     lines = head.split(b"\r\n")
     if not gap or lines[0] not in (b"WARC/1.0", b"WARC/1.1"):
         raise WarcError("no WARC version line")
+    try:
+        head.decode()
+    except UnicodeDecodeError as e:
+        raise WarcError("a header that isn't UTF-8") from e
     fields: dict[str, str] = {}
     for line in lines[1:]:
         key, colon, value = line.partition(b":")
@@ -214,18 +218,21 @@ def _rows(name, records, keep_payload, size=64):
         yield batch(rows)
 
 
-def write_pages(pages: DataFrame, sample_records=256, sample_bytes=1 << 20, archive_bytes=1 << 26, revisit_bytes=100, folder=None) -> DataFrame:
+def write_pages(pages: DataFrame, sample_records=256, sample_bytes=1 << 20, archive_bytes=1 << 26, revisit_bytes=100, folder=None, broadcast_rows=200_000) -> DataFrame:
     """Writes a record per row of ``pages`` (page_id, url, html) and returns the table of archives.
 
     Payload: the html as UTF-8, empty where null. Of rows with equal payloads of ``revisit_bytes`` or more, those
     with the smallest page_id are responses (more than one only if rows repeat that id) and the rest revisits of it;
-    null ids count as larger than any. ``sample_*`` bound what a dictionary is trained on.
+    null ids count as larger than any. ``sample_*`` bound what a dictionary is trained on. A very long payload is one record,
+    held whole; an empty table writes no archive. Digests that repeat are broadcast up to ``broadcast_rows``, so that no
+    payload is shuffled, and joined by a shuffle beyond.
     """
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     large = rows.where(F.octet_length("payload") >= revisit_bytes).select("digest", F.col("page_id").alias("p"))
     first = large.groupBy("digest").agg(F.min("p").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    rows = rows.join(first, "digest", "left")
+    first = cut(first, "warc-first")
+    rows = rows.join(F.broadcast(first) if first.count() <= broadcast_rows else first, "digest", "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     rows = rows.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("first")))
     run = _write_task(folder or new_path(pages.sparkSession, "warc"), sample_records, sample_bytes, archive_bytes)
