@@ -179,21 +179,31 @@ def test_langid_segments_count_every_gram_once(monkeypatch):
 
 def test_templates(spark):
     item = "If Anna Smith buys 12 apples and eats 5 apples then how many of the 12 apples are left in the basket of the kitchen"
-    changed = item.replace("12", "40").replace("Anna Smith", "Bob Jones").replace(" 5 ", " 7 ")
+    changed = item.replace("12", "40").replace("Anna Smith", "Bob").replace(" 5 ", " 7 ")
     torn = item.replace("12", "40", 1).replace("Anna", "Bob")
-    rows = [(1, "Intro words here. " + item + ". Bye."), (2, f"So: {changed}"), (3, torn), (4, "Totally different words that say nothing of the kind at all in any way today"), (5, None), (6, ""), (7, item.upper()), (8, " ".join(str(k) for k in range(500))), (1, "clean text")]
-    bench = spark.createDataFrame([(1, item, "z"), (2, None, "z"), (3, "1 2 3 4 5 6 7 8 9", "z"), (4, "", "z")], "item_id long, text string, windows string")
+    clean = "Totally different words that say nothing of the kind at all in any way today"
+    short = "Tom has 3 apples. Anna has 5 apples. Ben has 7 apples. How many apples do they have?"
+    german = "Der Lehrer kauft am Montag mit seiner Tochter frisches Brot und den Käse für das Fest der Schule"
+    start = "Weng Li earns $12 an hour for babysitting. Yesterday, she just did 50 minutes of babysitting. How much did she earn?"
+    rows = [(1, "Intro words here. " + item + ". Bye."), (2, f"So: {changed}"), (3, torn), (4, clean), (5, None), (6, ""), (7, item.upper()), (8, " ".join(str(k) for k in range(500))), (1, "clean text"), (9, item.lower())]
+    rows += [(10, short.replace("Tom", "Uma").replace("Anna", "Vic").replace("Ben", "Wes").replace("3", "8")), (11, german.lower()), (12, german.upper()), (13, start.replace("Weng Li", "Tina").replace("12", "18")), (14, "\x01a \x02 \x03 \x04 " + clean)]
+    rows += [(15, f"{clean} {item} " + "noise " * 60_000)]
+    bench = spark.createDataFrame([(1, item, "z"), (2, None, "z"), (3, "1 2 3 4 5 6 7 8 9", "z"), (4, "", "z"), (5, short, "z"), (6, german, "z"), (7, start, "z")], "item_id long, text string, windows string")
     d = spark.createDataFrame([(*r, "q", 1) for r in rows], "doc_id long, text string, item_id string, matched int")
-    got = sorted((r.doc_id, r.contaminated, r.item_id) for r in decontam.judge(d, bench).collect() if r.doc_id != 3)
-    assert got == sorted([(1, True, 1), (2, True, 1), (4, False, None), (5, False, None), (6, False, None), (7, got[-2][1], got[-2][2]), (8, False, None), (1, False, None)])
-    by = {r.doc_id: r for r in decontam.judge(d, bench).collect()}
-    assert by[3].matched is None or by[3].matched < by[2].matched
+    found = decontam.judge(d, bench).collect()
+    got = sorted((r.doc_id, r.contaminated, r.item_id) for r in found if r.doc_id != 3)
+    want = {1: 1, 2: 1, 7: 1, 9: 1, 10: 5, 11: 6, 12: 6, 13: 7, 15: 1}
+    assert got == sorted([(k, k in want, want.get(k)) for k, _ in rows if k not in (1, 3)] + [(1, True, 1), (1, False, None)])
+    by = {r.doc_id: r for r in found}
+    # Doc 3 turned 12 into 40 once and kept it once. With names as one slot the item has 24 tokens, hence 20 windows, of which
+    # the 4 around the first number and the 5 around the second don't count.
+    assert (by[3].contaminated, by[3].matched, by[3].windows) == (True, 11, 20) and by[9].matched == by[9].windows == 21
     kept = decontam.keep_clean(d, bench)
-    assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} >= {1, 4, 5, 6, 8} and 2 not in {r.doc_id for r in kept.collect()}
+    assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {1, 4, 5, 6, 8, 14}
     assert decontam.judge(d, bench.where("false")).where("contaminated").count() == 0
     assert decontam.judge(d.where("false"), bench).count() == 0
     far = decontam.judge(d, bench, broadcast_rows=0)
-    assert sorted(map(tuple, far.collect()), key=repr) == sorted(map(tuple, decontam.judge(d, bench).collect()), key=repr)
+    assert sorted(map(tuple, far.collect()), key=repr) == sorted(map(tuple, found), key=repr)
 
 
 # Licences

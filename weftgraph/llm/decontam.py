@@ -1,11 +1,14 @@
 """Benchmark decontamination by templates; DataFrame functions only.
 
-Numbers, names and units become typed placeholders, so that a question keeps its template when its parameters change.
+Numbers, names and units become typed placeholders, so that a question keeps its template when its parameters change. What a
+name is depends on case, which copies may change, so texts are compared in three forms: capitalised words are names but not
+where a sentence starts; they are names there too; no word is a name. A run of names is one placeholder.
+
 Windows of ``width`` template tokens of the benchmark, with at least ``literals`` literal ones, form an index; document
-windows meet it in a hash join. Matches of an item that lie on one diagonal (document position minus item position)
-belong to one occurrence, within which each parameter of the item must always have become the same value; windows
-with a slot that breaks this don't count. A document is contaminated by an item if at least half of the item's windows
-are found, or if one occurrence has ``run`` windows (13 tokens with the defaults).
+windows meet it in a hash join, form by form. Matches of an item that lie on one diagonal (document position minus item
+position) belong to one occurrence, within which each parameter of the item must always have become the same value; windows
+with a slot that breaks this don't count. A document is contaminated by an item if, in one form, at least half of the item's
+windows are found, or if one occurrence has ``run`` windows (13 tokens with the defaults).
 """
 
 from __future__ import annotations
@@ -15,32 +18,52 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm._shared import cut, table
 
-SLOT, STOP, POINT = "\x01", "\x02", "\x03"
+SLOT, STOP, POINT, JOIN = "\x01", "\x02", "\x03", "\x04"
 #: Units of measure after a number.
 UNITS = "mm|cm|m|km|in|inch|inches|ft|feet|foot|mile|miles|mi|g|mg|kg|lb|lbs|oz|ml|l|liter|liters|litre|litres|s|sec|second|seconds|min|minute|minutes|h|hr|hour|hours|day|days|week|weeks|month|months|year|years|percent|dollar|dollars|euro|euros|usd|eur|mph|kmh|hz|khz|mhz|w|kw|v|kb|mb|gb|tb"
-#: (pattern, replacement) in order, on the text behind a sentence mark; a lower-casing goes before the last.
+#: (pattern, replacement) in order, on the text behind a sentence mark; a lower-casing goes before the last. Slots: a, a name;
+#: s, one where a sentence starts; n, a number; u, a unit.
 STEPS = (
     ("([0-9])[.,]([0-9])", rf"$1{POINT}$2"),  # decimals stay whole
     ("[.!?:;\n\r]+", f" {STOP} "),
     (rf"[^\p{{L}}\p{{M}}\p{{N}}{STOP}{POINT}]+", " "),
-    (r" (\p{Lu}\p{Ll})", rf" {SLOT}a$1"),  # capitalised words are names,
-    (f"{STOP} {SLOT}a", ""),  # but not where a sentence starts
-    (f"{STOP} ?", ""),
+    (r" (\p{Lu}\p{Ll}[^ ]*)", rf" {SLOT}a$1{JOIN}"),
+    (rf"{STOP} {SLOT}a([^ ]*){JOIN}", rf"{SLOT}s$1"),
+    (rf"{JOIN} {SLOT}a", JOIN),  # a run of names
+    (f"{STOP} ?|{JOIN}( |$)", "$1"),
     (r"([0-9])(\p{L})", "$1 $2"),
     (" ([0-9])", f" {SLOT}n$1"),
     (rf"({SLOT}n[0-9{POINT}]+) ({UNITS})( |$)", rf"$1 {SLOT}u$2$3"),
 )
 TEMPLATE = (rf"{SLOT}([anu])[^ ]*", rf"{SLOT}$1")
+#: Of each form: replacements in marked tokens, in order.
+FORMS = (
+    ((f"{SLOT}s", ""),),
+    ((rf"{SLOT}s([^ ]*) {SLOT}a", rf"{SLOT}a$1{JOIN}"), (f"{SLOT}s", f"{SLOT}a")),
+    ((f"{SLOT}[as]", ""), (JOIN, " ")),
+)
 
 
 def marked(text: Column) -> Column:
     """The tokens of a text, by single spaces; slots start with SLOT and their type, and keep their value."""
-    out = F.concat(F.lit(f" {STOP} "), F.coalesce(text, F.lit("")))
+    out = F.concat(F.lit(f" {STOP} "), F.translate(F.coalesce(text, F.lit("")), SLOT + STOP + POINT + JOIN, "    "))
     for k, (pattern, to) in enumerate(STEPS):
         out = F.regexp_replace(F.lower(out) if k == len(STEPS) - 1 else out, pattern, to)
     return F.btrim(F.regexp_replace(out, " +", " "), F.lit(" "))
 
 
+def forms(rows: DataFrame) -> DataFrame:
+    """A row (form, m) for each form of the marked tokens m."""
+    kept = [c for c in rows.columns if c != "m"]
+    made = []
+    for n, steps in enumerate(FORMS):
+        out = F.col("m")
+        for pattern, to in steps:
+            out = F.regexp_replace(out, pattern, to)
+        made.append(F.struct(F.lit(n).alias("form"), out.alias("m")))
+    return rows.select(*kept, F.explode_outer(F.array(*made)).alias("_f")).select(*kept, "_f.form", "_f.m")
+
+
 def template(tokens: Column) -> Column:
     return F.regexp_replace(tokens, *TEMPLATE)
 
@@ -63,59 +86,64 @@ def _hash(width: int) -> Column:
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text="text", width=5, literals=3, run=9, broadcast_rows=500_000) -> DataFrame:
-    """_key, item_id, matched, windows of every pair of a contaminated row and a template that contaminates it.
+    """_key, item_id, form, matched, windows of every pair of a contaminated row and a template that contaminates it.
 
     _key is a hash of id and text (see row_key): repeated rows share it. Items of equal templates are one, under their
     smallest id. The index is broadcast up to ``broadcast_rows`` rows and joined by a shuffle beyond.
     """
-    items = benchmark.select(F.col(item_col).alias("item_id"), marked(F.col(item_text)).alias("m")).withColumn("t", template(F.col("m")))
-    items = items.groupBy("t").agg(F.min(F.struct("item_id", "m")).alias("s")).select(F.col("s.item_id").alias("item_id"), F.col("s.m").alias("m"), "t")
+    item = ["item_id", "form"]
+    items = forms(benchmark.select(F.col(item_col).alias("item_id"), marked(F.col(item_text)).alias("m"))).withColumn("t", template(F.col("m")))
+    items = items.groupBy("form", "t").agg(F.min(F.struct("item_id", "m")).alias("s")).select("form", F.col("s.item_id").alias("item_id"), F.col("s.m").alias("m"), "t")
     literal = sum((F.when(F.col(f"t{k}").startswith(SLOT), 0).otherwise(1) for k in range(width)), F.lit(0))
-    index = _windows(items.select("item_id", "t"), "t", width).where(literal >= literals)
-    index = cut(index.select("item_id", "pos", _hash(width).alias("h")).groupBy("item_id", "h").agg(F.min("pos").alias("ipos")), "decontam-index")
-    sizes = index.groupBy("item_id").agg(F.count("*").alias("windows"))
+    index = _windows(items.select(*item, "t"), "t", width).where(literal >= literals)
+    index = cut(index.select(*item, "pos", _hash(width).alias("h")).groupBy(*item, "h").agg(F.min("pos").alias("ipos")), "decontam-index")
+    sizes = index.groupBy(*item).agg(F.count("*").alias("windows"))
     small = index.count() <= broadcast_rows
-    rows = docs.select(row_key(id_col, text_col), marked(F.col(text_col)).alias("m"))
-    spread = _windows(rows.select("_key", template(F.col("m")).alias("t")), "t", width).select("_key", "pos", _hash(width).alias("h"))
-    hits = spread.join(F.broadcast(index) if small else index, "h").select("_key", "item_id", "ipos", (F.col("pos") - F.col("ipos")).alias("diag")).distinct()
+    rows = forms(docs.select(row_key(id_col, text_col), marked(F.col(text_col)).alias("m")))
+    spread = _windows(rows.select("_key", "form", template(F.col("m")).alias("t")), "t", width).select("_key", "form", "pos", _hash(width).alias("h"))
+    hits = spread.join(F.broadcast(index) if small else index, ["form", "h"]).select("_key", *item, "ipos", (F.col("pos") - F.col("ipos")).alias("diag")).distinct()
+    pair = ["_key", *item]
 
     def decide(found: DataFrame) -> DataFrame:
-        each = found.groupBy("_key", "item_id", "diag").agg(F.collect_set("ipos").alias("at"))  # at most an item's windows
-        each = each.groupBy("_key", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("matched"), F.max(F.size("at")).alias("longest"))
-        each = each.join(F.broadcast(sizes) if small else sizes, "item_id")
-        return each.where((2 * F.col("matched") >= F.col("windows")) | (F.col("longest") >= run)).select("_key", "item_id", F.col("matched").cast("long").alias("matched"), "windows")
+        each = found.groupBy(*pair, "diag").agg(F.collect_set("ipos").alias("at"))  # at most an item's windows
+        every = found.select(*pair, "ipos").distinct().groupBy(*pair).agg(F.count("*").alias("matched"))
+        each = each.groupBy(*pair).agg(F.max(F.size("at")).alias("longest")).join(every, pair)
+        each = each.join(F.broadcast(sizes) if small else sizes, item)
+        return each.where((2 * F.col("matched") >= F.col("windows")) | (F.col("longest") >= run)).select(*pair, "matched", "windows")
 
     hits = cut(hits, "decontam-hits")
     pairs = cut(decide(hits), "decontam-pairs")
     # Slots matter where an item of a found pair has any.
-    slots = lambda rows, key, at, value: rows.select(key, F.posexplode_outer(F.split("m", " ")).alias(at, value)).where(F.col(value).startswith(SLOT))
-    item_slots = slots(items, "item_id", "islot", "was").join(pairs.select("item_id").distinct(), "item_id", "left_semi")
-    slotted = pairs.join(item_slots.select("item_id").distinct(), "item_id", "left_semi").select("_key", "item_id")
+    slots = lambda rows, keys, at, value: rows.select(*keys, F.posexplode_outer(F.split("m", " ")).alias(at, value)).where(F.col(value).startswith(SLOT))
+    item_slots = slots(items, item, "islot", "was").join(pairs.select(*item).distinct(), item, "left_semi")
+    slotted = pairs.join(item_slots.select(*item).distinct(), item, "left_semi").select(*pair)
     keys = cut(slotted.select("_key").distinct(), "decontam-slotted")
     few = keys.count() <= broadcast_rows
-    doc_slots = slots(rows.join(F.broadcast(keys) if few else keys, "_key", "left_semi"), "_key", "dslot", "now").distinct()
-    used = hits.join(slotted, ["_key", "item_id"], "left_semi").withColumn("islot", F.explode(F.sequence(F.col("ipos"), F.col("ipos") + (width - 1))))
-    used = used.join(item_slots, ["item_id", "islot"]).select("_key", "item_id", "diag", "ipos", "islot", "was", (F.col("islot") + F.col("diag")).alias("dslot"))
-    values = used.join(doc_slots, ["_key", "dslot"])
-    torn = values.groupBy("_key", "item_id", "diag", "was").agg(F.min("now").alias("least"), F.max("now").alias("most")).where("least <> most")
-    bad = values.join(torn, ["_key", "item_id", "diag", "was"], "left_semi").select("_key", "item_id", "diag", "ipos").distinct()
-    checked = decide(hits.join(slotted, ["_key", "item_id"], "left_semi").join(bad, ["_key", "item_id", "diag", "ipos"], "left_anti"))
-    return pairs.join(slotted, ["_key", "item_id"], "left_anti").unionByName(checked)
+    doc_slots = slots(rows.join(F.broadcast(keys) if few else keys, "_key", "left_semi"), ["_key", "form"], "dslot", "now").distinct()
+    used = hits.join(slotted, pair, "left_semi").withColumn("islot", F.explode(F.sequence(F.col("ipos"), F.col("ipos") + (width - 1))))
+    used = used.join(item_slots, [*item, "islot"]).select(*pair, "diag", "ipos", "islot", "was", (F.col("islot") + F.col("diag")).alias("dslot"))
+    values = used.join(doc_slots, ["_key", "form", "dslot"])
+    torn = values.groupBy(*pair, "diag", "was").agg(F.min("now").alias("least"), F.max("now").alias("most")).where("least <> most")
+    bad = values.join(torn, [*pair, "diag", "was"], "left_semi").select(*pair, "diag", "ipos").distinct()
+    checked = decide(hits.join(slotted, pair, "left_semi").join(bad, [*pair, "diag", "ipos"], "left_anti"))
+    return pairs.join(slotted, pair, "left_anti").unionByName(checked)
 
 
 def row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.col(text_col)).alias("_key")
+    """128 bits of id and text."""
+    return F.struct(F.xxhash64(F.col(id_col), F.col(text_col)).alias("x"), F.xxhash64(F.lit(1), F.col(text_col), F.col(id_col)).alias("y")).alias("_key")
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
     """id, contaminated, item_id, matched, windows of every row; the item is that with the largest share of windows
-    found, the smallest id among equals, null for clean rows.
+    found, the smallest id and the first form among equals, null for clean rows.
 
     Null and empty texts and texts of fewer tokens than a window are clean; items without a window of enough literal
-    tokens find nothing, and an empty benchmark finds nothing. Repeated rows are judged alike.
+    tokens find nothing, and an empty benchmark finds nothing. Repeated rows are judged alike. Texts of any length are read
+    whole; an empty table gives no rows.
     """
     found = find(docs, benchmark, id_col, text_col, **options)
-    best = found.groupBy("_key").agg(F.min(F.struct((-F.col("matched") / F.col("windows")).alias("s"), "item_id", "matched", "windows")).alias("b"))
+    best = found.groupBy("_key").agg(F.min(F.struct((-F.col("matched") / F.col("windows")).alias("s"), "item_id", "form", "matched", "windows")).alias("b"))
     best = best.select(F.col("_key").alias("k"), F.col("b.item_id").alias("item_id"), F.col("b.matched").alias("matched"), F.col("b.windows").alias("windows"))
     rows = docs.select(F.col(id_col), row_key(id_col, text_col)).join(best, F.col("_key") == F.col("k"), "left")
     return rows.select(id_col, F.col("k").isNotNull().alias("contaminated"), "item_id", "matched", "windows")
@@ -123,46 +151,56 @@ def judge(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", broadcast_rows=500_000, **options) -> DataFrame:
     """The rows of ``docs``, columns as they are, without the contaminated ones."""
-    found = cut(find(docs, benchmark, id_col, text_col, broadcast_rows=broadcast_rows, **options).select("_key").distinct(), "decontam-found")
+    found = cut(find(docs, benchmark, id_col, text_col, broadcast_rows=broadcast_rows, **options).select(F.col("_key").alias("_found")).distinct(), "decontam-found")
     found = F.broadcast(found) if found.count() <= broadcast_rows else found
-    return docs.join(found, F.xxhash64(docs[id_col], docs[text_col]) == found["_key"], "left_anti")
+    return docs.join(found, row_key(id_col, text_col) == F.col("_found"), "left_anti")
 
 
 def query(spark, sf_dir):
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _sql_replaced(text: str, steps, lower_last=False) -> str:
+    for k, (pattern, to) in enumerate(steps):
+        text = f"regexp_replace({f'lower({text})' if lower_last and k == len(steps) - 1 else text}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
+    return text
+
+
 def _sql_marked(text: str) -> str:
-    out = f"'{' ' + STOP + ' '}' || coalesce({text}, '')"
-    for k, (pattern, to) in enumerate(STEPS):
-        out = f"regexp_replace({f'lower({out})' if k == len(STEPS) - 1 else out}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
+    out = _sql_replaced(f"' {STOP} ' || translate(coalesce({text}, ''), '{SLOT + STOP + POINT + JOIN}', '    ')", STEPS, True)
     return f"trim(regexp_replace({out}, ' +', ' ', 'g'), ' ')"
 
 
+def _sql_forms(rows: str, key: str) -> str:
+    """key, form, m, t of rows with m."""
+    each = " UNION ALL ".join(f"SELECT {key}, {n} AS form, {_sql_replaced('m', steps)} AS m FROM {rows}" for n, steps in enumerate(FORMS))
+    return f"SELECT *, {_sql_replaced('m', [TEMPLATE])} AS t FROM ({each})"
+
+
 SQL = f"""
-WITH items AS (
-  SELECT min(item_id) AS item_id, arg_min(m, item_id) AS m, t FROM (
-    SELECT item_id, m, regexp_replace(m, '{TEMPLATE[0]}', '{TEMPLATE[1].replace("$", chr(92))}', 'g') AS t FROM (SELECT item_id, {_sql_marked("text")} AS m FROM benchmark)) GROUP BY t
-), toks AS (SELECT item_id, string_split(t, ' ') AS a, string_split(m, ' ') AS v FROM items
-), win AS (SELECT item_id, i - 1 AS pos, a[i : i + 4] AS w FROM (SELECT item_id, a, unnest(range(1, greatest(1, len(a) - 3))) AS i FROM toks)
+WITH marked_items AS (SELECT item_id, {_sql_marked("text")} AS m FROM benchmark
+), items AS (
+  SELECT min(item_id) AS item_id, form, arg_min(m, item_id) AS m, t FROM ({_sql_forms("marked_items", "item_id")}) GROUP BY form, t
+), toks AS (SELECT item_id, form, string_split(t, ' ') AS a, string_split(m, ' ') AS v FROM items
+), win AS (SELECT item_id, form, i - 1 AS pos, a[i : i + 4] AS w FROM (SELECT item_id, form, a, unnest(range(1, greatest(1, len(a) - 3))) AS i FROM toks)
 ), idx AS (
-  SELECT item_id, w, min(pos) AS ipos FROM win WHERE len(list_filter(w, lambda x: NOT starts_with(x, '{SLOT}'))) >= 3 GROUP BY item_id, w
-), sizes AS (SELECT item_id, count(*) AS windows FROM idx GROUP BY item_id
+  SELECT item_id, form, w, min(pos) AS ipos FROM win WHERE len(list_filter(w, lambda x: NOT starts_with(x, '{SLOT}'))) >= 3 GROUP BY item_id, form, w
+), sizes AS (SELECT item_id, form, count(*) AS windows FROM idx GROUP BY item_id, form
+), marked_docs AS (SELECT doc_id, {_sql_marked("text")} AS m FROM documents
 ), docs AS (
-  SELECT doc_id, string_split(regexp_replace(m, '{TEMPLATE[0]}', '{TEMPLATE[1].replace("$", chr(92))}', 'g'), ' ') AS a, string_split(m, ' ') AS v
-  FROM (SELECT doc_id, {_sql_marked("text")} AS m FROM documents)
-), dwin AS (SELECT doc_id, i - 1 AS pos, a[i : i + 4] AS w FROM (SELECT doc_id, a, unnest(range(1, greatest(1, len(a) - 3))) AS i FROM docs)
-), hits AS (SELECT DISTINCT doc_id, item_id, ipos, pos - ipos AS diag FROM dwin JOIN idx USING (w)
+  SELECT doc_id, form, string_split(t, ' ') AS a, string_split(m, ' ') AS v FROM ({_sql_forms("marked_docs", "doc_id")})
+), dwin AS (SELECT doc_id, form, i - 1 AS pos, a[i : i + 4] AS w FROM (SELECT doc_id, form, a, unnest(range(1, greatest(1, len(a) - 3))) AS i FROM docs)
+), hits AS (SELECT DISTINCT doc_id, item_id, form, ipos, pos - ipos AS diag FROM dwin JOIN idx USING (form, w)
 ), slots AS (
-  SELECT doc_id, item_id, diag, ipos, t.v[ipos + k] AS was, d.v[ipos + diag + k] AS now
-  FROM hits JOIN toks t USING (item_id) JOIN docs d USING (doc_id), range(1, 6) r(k) WHERE starts_with(t.v[ipos + k], '{SLOT}')
-), torn AS (SELECT doc_id, item_id, diag, was FROM slots GROUP BY ALL HAVING min(now) <> max(now)
-), bad AS (SELECT DISTINCT doc_id, item_id, diag, ipos FROM slots JOIN torn USING (doc_id, item_id, diag, was)
-), good AS (SELECT * FROM hits ANTI JOIN bad USING (doc_id, item_id, diag, ipos)
-), each AS (SELECT doc_id, item_id, diag, count(*) AS n FROM good GROUP BY ALL
+  SELECT doc_id, item_id, form, diag, ipos, t.v[ipos + k] AS was, d.v[ipos + diag + k] AS now
+  FROM hits JOIN toks t USING (item_id, form) JOIN docs d USING (doc_id, form), range(1, 6) r(k) WHERE starts_with(t.v[ipos + k], '{SLOT}')
+), torn AS (SELECT doc_id, item_id, form, diag, was FROM slots GROUP BY ALL HAVING min(now) <> max(now)
+), bad AS (SELECT DISTINCT doc_id, item_id, form, diag, ipos FROM slots JOIN torn USING (doc_id, item_id, form, diag, was)
+), good AS (SELECT * FROM hits ANTI JOIN bad USING (doc_id, item_id, form, diag, ipos)
+), each AS (SELECT doc_id, item_id, form, diag, count(*) AS n FROM good GROUP BY ALL
 ), pairs AS (
-  SELECT doc_id, item_id, matched, windows FROM (SELECT doc_id, item_id, count(DISTINCT ipos) AS matched FROM good GROUP BY ALL)
-  JOIN (SELECT doc_id, item_id, max(n) AS longest FROM each GROUP BY ALL) USING (doc_id, item_id) JOIN sizes USING (item_id) WHERE 2 * matched >= windows OR longest >= 9
-), best AS (SELECT doc_id, item_id, matched, windows FROM pairs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY -matched / windows, item_id) = 1)
+  SELECT doc_id, item_id, form, matched, windows FROM (SELECT doc_id, item_id, form, count(DISTINCT ipos) AS matched FROM good GROUP BY ALL)
+  JOIN (SELECT doc_id, item_id, form, max(n) AS longest FROM each GROUP BY ALL) USING (doc_id, item_id, form) JOIN sizes USING (item_id, form) WHERE 2 * matched >= windows OR longest >= 9
+), best AS (SELECT doc_id, item_id, matched, windows FROM pairs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY -matched / windows, item_id, form) = 1)
 SELECT d.doc_id, b.doc_id IS NOT NULL AS contaminated, item_id, matched, windows FROM documents d LEFT JOIN best b ON b.doc_id = d.doc_id
 """
