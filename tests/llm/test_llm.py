@@ -195,9 +195,9 @@ def test_templates(spark):
     want = {1: 1, 2: 1, 7: 1, 9: 1, 10: 5, 11: 6, 12: 6, 13: 7, 15: 1}
     assert got == sorted([(k, k in want, want.get(k)) for k, _ in rows if k not in (1, 3)] + [(1, True, 1), (1, False, None)])
     by = {r.doc_id: r for r in found}
-    # Doc 3 turned 12 into 40 once and kept it once. With names as one slot the item has 24 tokens, hence 20 windows, of which
-    # the 4 around the first number and the 5 around the second don't count.
-    assert (by[3].contaminated, by[3].matched, by[3].windows) == (True, 11, 20) and by[9].matched == by[9].windows == 21
+    # Doc 3 turned 12 into 40 once and kept it once. With "If Anna Smith" as one slot the item has 23 tokens, hence 19 windows, of
+    # which the 3 around the first number and the 5 around the second don't count.
+    assert (by[3].contaminated, by[3].matched, by[3].windows) == (True, 11, 19) and by[9].matched == by[9].windows == 21
     kept = decontam.keep_clean(d, bench)
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {1, 4, 5, 6, 8, 14}
     assert decontam.judge(d, bench.where("false")).where("contaminated").count() == 0
