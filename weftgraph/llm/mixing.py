@@ -5,7 +5,8 @@
    and the level follows from running sums over the sources sorted by cap / weight.
 2. Schedule. Slot n has the golden-ratio point frac(n / phi^2), kept on a grid of 2^32 so that any engine gets the same
    value. Points map through cumulative targets to sources; the k-th slot of a source takes the k-th block of the
-   source's stream. Ranks come from counts per run of slots, prefix sums over runs, and row numbers inside a run.
+   source's stream. Ranks come from counts per run of slots, prefix sums over runs, and row numbers inside a run. Blocks of
+   a target that no slot took (a few of each source: points are spread evenly, not exactly) follow in slots at the end.
 3. Streams. A source's documents, shuffled by a hash of their id, form a stream of words, repeated up to
    ``max_epochs`` times and cut into blocks of ``block_words`` words. Offsets come from sums per hash range, prefix
    sums over ranges, and running sums inside a range. Both ranges and runs number about the square root of what they
@@ -47,7 +48,7 @@ def source_targets(sized: DataFrame, weights=default_weights, budget=1.5, max_ep
 
 
 def schedule(targets: DataFrame, block_words: int) -> DataFrame:
-    """slot, rank, block: the k-th slot of each source takes its block k."""
+    """slot, rank, block: the k-th slot of each source takes its block k; every block of a target has one slot."""
     spark = targets.sparkSession
     quota = targets.withColumn("t", F.floor("target")).where("t > 0")
     upto = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
@@ -56,7 +57,7 @@ def schedule(targets: DataFrame, block_words: int) -> DataFrame:
     quota = quota.select("rank", "t", scale(cum - F.col("t")).alias("lo"), scale(cum).alias("hi"), total.alias("total"))
     stat = quota.agg(F.max("total"), F.count("*")).first()
     n_sources = stat[1]
-    slots = -(-(stat[0] or 0) // block_words) + 4 * n_sources if n_sources else 0
+    slots = -(-(stat[0] or 0) // block_words) if n_sources else 0
     run = max(1, int(slots**0.5))
     # A source covers a few cells of a grid as fine as there are sources; slots find theirs by an equi-join on the cell.
     cell = GRID / max(1, n_sources)
@@ -72,7 +73,12 @@ def schedule(targets: DataFrame, block_words: int) -> DataFrame:
     inside = F.row_number().over(Window.partitionBy("rank", "run").orderBy("slot"))
     ranked = mapped.withColumn("k", inside).join(per_run, ["rank", "run"])
     out = ranked.select("slot", "rank", "t", (F.col("before") + F.col("k") - 1).alias("block"))
-    return out.where(F.col("block") * F.lit(block_words) < F.col("t"))
+    out = out.where(F.col("block") * F.lit(block_words) < F.col("t")).select("slot", "rank", "block")
+    taken = mapped.groupBy("rank").agg(F.count("*").alias("n"))
+    last = F.floor((F.col("t") - 1) / F.lit(block_words))
+    short = quota.select("rank", "t").join(taken, "rank", "left").withColumn("n", F.coalesce("n", F.lit(0))).where(F.col("n") <= last)
+    rest = short.select("rank", F.explode(F.sequence(F.col("n"), last)).alias("block"))
+    return out.unionByName(rest.select((F.lit(slots) + F.col("block") * F.lit(max(1, n_sources)) + F.col("rank")).alias("slot"), "rank", "block"))
 
 
 def streams(sized: DataFrame, targets: DataFrame) -> DataFrame:
@@ -95,10 +101,10 @@ def streams(sized: DataFrame, targets: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=default_weights, budget=1.5, max_epochs=2, block_words=128):
     """(rows, pieces).
 
-    ``rows``: one row per input row: id, size, source_size, target, taken, and row_key (rank, range_, nth), which names the row.
+    ``rows``: one row per input row: id, source, size, source_size, target, taken, and row_key (rank, range_, nth), which names it.
     ``pieces``: the mix itself: slot, rank, block, row_key, epoch, word_from, word_to (of the document, end exclusive).
 
-    Null text and texts without words have size 0 and take nothing. Null sources are one source. Rows that repeat an
+    Each source takes floor(target) words. Null text and texts without words have size 0 and take nothing. Null sources are one source. Rows that repeat an
     id are rows of their own. An empty table gives no rows. Only the three named columns are read.
     """
     sized = docs.select(F.col(id_col).alias("key"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
@@ -118,7 +124,7 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     )
     taken = pieces.groupBy("rank", "range_", "nth").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("taken"))
     rows = placed.join(taken, ["rank", "range_", "nth"], "left").select(
-        F.col("key").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "rank", "range_", "nth"
+        F.col("key").alias(id_col), "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "rank", "range_", "nth"
     )
     return rows, pieces
 
@@ -147,16 +153,7 @@ WITH sized AS (
   SELECT source, rk, docs, source_size, least(cap::DOUBLE, coalesce(w * (SELECT lvl FROM fixed), cap::DOUBLE)) AS target FROM leveled
 ), quota AS (
   SELECT rk, floor(target)::BIGINT AS t FROM targets WHERE floor(target) > 0
-), bounds AS (
-  SELECT rk, t, (sum(t) OVER (ORDER BY rk) - t)::BIGINT * 4294967296.0::DOUBLE / sum(t) OVER ()::BIGINT AS lo,
-    (sum(t) OVER (ORDER BY rk))::BIGINT * 4294967296.0::DOUBLE / sum(t) OVER ()::BIGINT AS hi FROM quota
-), points AS (
-  SELECT n, ((n % 4294967296) * 1640531527 % 4294967296)::DOUBLE AS p
-  FROM range(coalesce((SELECT (sum(t)::BIGINT + 127) // 128 + 4 * count(*) FROM quota), 0)) r(n)
-), hits AS (
-  SELECT rk, count(*) AS slots FROM points, bounds WHERE p >= lo AND p < hi GROUP BY rk
-), reach AS (
-  SELECT rk, least(t, slots * 128) AS words FROM bounds JOIN hits USING (rk)
+), reach AS (SELECT rk, t AS words FROM quota
 ), placed AS (
   SELECT doc_id, size, source_size, target, words,
     sum(size) OVER (PARTITION BY targets.rk ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start
