@@ -2,8 +2,9 @@
 
 A text's features are its byte n-grams (UTF-8, lowered, runs of white space and digits as one space), hashed into
 buckets. The model averages the embeddings of all n-grams of a text and applies a linear softmax; both are trained
-together by stochastic gradient descent in numpy on a bounded, hash-chosen sample of each language. A second part of
-the sample calibrates a temperature and the rejection threshold.
+together by stochastic gradient descent in numpy on a bounded, hash-chosen sample of each language, and of made-up texts of
+letters that languages elsewhere use, which are a class of their own that is never predicted: texts like them are none of the
+learned languages. Texts that training has not seen calibrate a temperature and the rejection threshold.
 
 Prediction needs the product of embeddings and output weights only, a table of buckets x languages, so a text costs a
 hash and a lookup per n-gram, in segments of bounded size however long the text.
@@ -29,7 +30,7 @@ SEGMENT = 1 << 19
 @dataclasses.dataclass(frozen=True)
 class Model:
     languages: list[str]
-    scores: np.ndarray  # buckets x languages
+    scores: np.ndarray  # buckets x (languages and the class of other texts)
     bias: np.ndarray
     temperature: float
     threshold: float  # texts whose best probability is lower are rejected
@@ -58,8 +59,15 @@ def bucket_counts(text: str, bits: int) -> np.ndarray:
     return out
 
 
+def made_up(words: list[str], rng) -> str:
+    """Words of the same lengths, of letters of some range of code points that is not Latin."""
+    start = int(rng.integers(0x370, 0xD000))
+    return " ".join("".join(map(chr, rng.integers(start, start + 96, min(len(w), 30)))) for w in words[:200])
+
+
 def _features(bits: int, pieces: tuple[int, ...]):
-    """For each sampled text: the whole of it, and windows of its words of a few lengths."""
+    """For each sampled text: the whole of it, windows of its words of a few lengths, and for one in four a made-up text, whose
+    language is null."""
 
     def run(batches):
         for batch in (x for b in batches for x in slices(b, 100)):
@@ -68,10 +76,11 @@ def _features(bits: int, pieces: tuple[int, ...]):
                 words = text.split()
                 rng = np.random.default_rng(len(text))
                 parts = [text] + [" ".join(words[(s := int(rng.integers(len(words) - n + 1))) : s + n]) for n in pieces if len(words) > n]
-                for k, part in enumerate(parts):
+                made = [(made_up(words, rng), None)] if words and rng.random() < 0.25 else []
+                for k, (part, of) in enumerate([*((p, lang) for p in parts), *made]):
                     counts = bucket_counts(part, bits)
                     used = np.nonzero(counts)[0]
-                    rows.append((key, k, lang, used.astype(np.uint16 if bits <= 16 else np.uint32).tobytes(), (counts[used] / counts.sum()).astype(np.float32).tobytes()))
+                    rows.append((key, k, of, used.astype(np.uint16 if bits <= 16 else np.uint32).tobytes(), (counts[used] / counts.sum()).astype(np.float32).tobytes()))
             cols = zip(*rows, strict=True) if rows else [[]] * 5
             types = (pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=["key", "part", "lang", "used", "share"])
@@ -98,9 +107,9 @@ class Sparse:
 
 def train(rows, labels: np.ndarray, languages: list[str], bits: int, texts: np.ndarray | None = None, dim=16, epochs=20, rate=2.0, size=32, reject=0.0005, most_threshold=0.4, seed=7) -> Model:
     """Stochastic gradient descent on 4 of 5 texts; temperature and threshold on the fifth. ``texts``: the text that each
-    row is of or a window of, so that no text is in both parts."""
+    row is of or a window of, so that no text is in both parts. A label beyond the languages is the class of other texts."""
     rng = np.random.default_rng(seed)
-    table_, n_lang = Sparse(rows), len(languages)
+    table_, n_lang = Sparse(rows), len(languages) + 1
     emb = (rng.standard_normal((1 << bits, dim)) / dim).astype(np.float32)
     out, bias = np.zeros((dim, n_lang), np.float32), np.zeros(n_lang, np.float32)
     texts = np.arange(len(rows)) if texts is None else np.unique(texts, return_inverse=True)[1]
@@ -134,7 +143,8 @@ def train(rows, labels: np.ndarray, languages: list[str], bits: int, texts: np.n
     for t in np.geomspace(0.02, 5, 60):
         now = -np.log(np.maximum(_softmax(logits / t)[np.arange(len(kept)), labels[kept]], 1e-12)).mean()
         best, loss = (t, now) if now < loss - 1e-9 else (best, loss)
-    sure = _softmax(logits / best).max(axis=1)
+    own = labels[kept] < len(languages)
+    sure = _softmax(logits / best)[own, :-1].max(axis=1) if own.any() else np.ones(1)
     return Model(languages, emb @ out, bias, float(best), float(min(most_threshold, np.quantile(sure, reject))))
 
 
@@ -156,19 +166,21 @@ def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per_
     if not found.num_rows:  # hash-chosen samples of tiny tables can be empty: then all rows are few enough
         found = rows.select(F.xxhash64(F.col("_id").cast("string"), "_text").alias("_id"), "_text", "_lang").where(F.col("_lang").isin([x for x in languages if counts[x] <= per_language])).mapInArrow(_features(bits, pieces), "key long, part int, lang string, used binary, share binary").toArrow()
     found = found.sort_by([("key", "ascending"), ("part", "ascending"), ("lang", "ascending")])
+    given = found.column("lang").to_pylist()
     kind = np.uint16 if bits <= 16 else np.uint32
     data = [(np.frombuffer(u.as_py(), kind), np.frombuffer(s.as_py(), np.float32)) for u, s in zip(found.column("used"), found.column("share"), strict=True)]
-    seen = sorted(set(found.column("lang").to_pylist()))
-    labels = np.array([seen.index(x) for x in found.column("lang").to_pylist()])
+    seen = sorted({x for x in given if x is not None})
+    place = {x: k for k, x in enumerate(seen)}
+    labels = np.array([place.get(x, len(seen)) for x in given])
     keys = found.column("key").to_numpy()
     del found, sample
     return train(data, labels, seen, bits, keys)
 
 
-def _predict(shipped, bits):
+def _predict(shipped, bits, text_at=1, keep_rows=False):
     def run(batches):
         languages, scores, bias, temperature, threshold = shipped.value
-        columns = [np.ascontiguousarray(scores[:, c]) for c in range(len(languages))]
+        columns = [np.ascontiguousarray(c) for c in scores.T]
 
         def sums(data):
             """Summed scores and number of n-grams of the texts whose bytes start at ``starts``."""
@@ -200,13 +212,13 @@ def _predict(shipped, bits):
                 n += np.maximum(0, lengths - order + 1)
             return total, n
 
-        for batch in (x for b in batches for x in slices(b)):
-            texts = batch.column("_text").to_pylist()
+        def judge(texts):
+            """(place of the best language or -1, its probability, whether rejected) of each text."""
             picked, found = np.zeros(len(texts), np.int64) - 1, np.zeros(len(texts))
             group, held = [], 0
 
-            def settle(which, total, n, picked=picked, found=found):
-                p = _softmax((total / np.maximum(1, n)[:, None] + bias) / temperature)
+            def settle(which, total, n):
+                p = _softmax((total / np.maximum(1, n)[:, None] + bias) / temperature)[:, : len(languages)]
                 picked[which], found[which] = p.argmax(axis=1), p.max(axis=1)
 
             for k, text in enumerate(texts):
@@ -224,10 +236,15 @@ def _predict(shipped, bits):
                     group, held = [], 0
             if group:
                 settle([x for x, _ in group], *many([t for _, t in group]))
+            return picked, found, (picked < 0) | (found < threshold)
+
+        for batch in (x for b in batches for x in slices(b)):
+            picked, found, rejected = judge(batch.column(text_at).to_pylist())
+            if keep_rows:
+                yield batch.filter(pa.array(~rejected))
+                continue
             names = np.array([*languages, "und"], object)[picked]
-            rejected = (picked < 0) | (found < threshold)
-            keep = [c for c in batch.schema.names if c != "_text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(np.clip(found, 0, 1)), pa.array(rejected)], names=[*keep, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(np.clip(found, 0, 1)), pa.array(rejected)], names=[batch.schema.names[0], "lang_pred", "score", "rejected"])
 
     return run
 
@@ -237,7 +254,8 @@ def identify(docs: DataFrame, model: Model | None, id_col="doc_id", text_col="te
 
     Null texts and texts without a letter are ``und`` with score 0, and rejected; so is everything where there is no
     model. Texts whose calibrated probability is below the model's threshold keep their best language but are
-    rejected. Repeated rows are predicted alike. Only the two named columns are read; nothing is shuffled.
+    rejected. Repeated rows are predicted alike. Only the two named columns are read; nothing is shuffled. An empty table
+    gives no rows; very long texts are read whole, in segments.
     """
     rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
     if model is None:
@@ -247,6 +265,15 @@ def identify(docs: DataFrame, model: Model | None, id_col="doc_id", text_col="te
     return rows.mapInArrow(_predict(shipped, bits), f"`{id_col}` {rows.schema[0].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
 
 
+def keep_known(docs: DataFrame, model: Model | None, text_col="text") -> DataFrame:
+    """The rows of ``docs``, columns as they are, that identify() does not reject, in one pass without joins or keys."""
+    if model is None:
+        return docs.where(F.lit(False))
+    shipped = docs.sparkSession.sparkContext.broadcast(dataclasses.astuple(model))
+    bits = int(model.scores.shape[0]).bit_length() - 1
+    return docs.mapInArrow(_predict(shipped, bits, docs.columns.index(text_col), True), docs.schema)
+
+
 def fold(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")), F.lit(0)) % 3
 

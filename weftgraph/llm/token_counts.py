@@ -120,7 +120,8 @@ class Counts(dict):
 def count_tokens(docs: DataFrame, id_col="doc_id", text_col="text", vocabulary=VOCABULARY, pattern=PATTERN, lower=True) -> DataFrame:
     """id, n_bytes, n_words, n_tokens of every row's whole text.
 
-    Words are the matches of ``pattern`` in the (lowered) text. Null and empty texts have zeros. The driver reads the
+    Words are the matches of ``pattern`` in the (lowered) text. Null and empty texts have zeros. Rows that repeat are
+    counted each; an empty table gives no rows; a very long text is counted whole, held by one task. The driver reads the
     vocabulary and ships its pieces, whose number the vocabulary bounds; texts stay where they are: no shuffle.
     """
     pieces = read_vocabulary(vocabulary)
