@@ -21,28 +21,29 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language identification rejects go: texts that are null or have no letter, and those in which no
-    language is probable enough. The model learns from the labelled rows of the stage's own input."""
-    judged = langid.identify(docs, langid.fit(docs))
-    return _without(docs, judged.where("rejected").select(F.col("doc_id").alias("_gone")))
+    language is probable enough. The model learns from the labelled rows of the stage's own input. Rows are judged one by
+    one, whatever their ids; an input without a labelled text has no model, so all of it goes; an empty table stays empty."""
+    return langid.keep_known(docs, langid.fit(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document of the smallest id stays."""
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document of the smallest id stays.
+    Documents without words or with a null id stay. Rows of one id are one document: they stay or go together."""
     found = minhash_dedup.near_duplicates(docs, percent=80)
     return _without(docs, found.where("not kept").select(F.col("doc_id").alias("_gone")))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage, parameters changed or not, go."""
+    """Documents that hold a benchmark passage, parameters changed or not, go. Rows are judged by id and text; null and empty
+    texts and ids stay."""
     return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"), broadcast_rows=BROADCAST_ROWS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of each document that the mix takes words of."""
+    """doc_id, source, size, source_size, target, taken of each row that the mix takes words of: rows that repeat an id or have
+    none are rows of their own, rows without words are never taken, null sources are one source."""
     rows, _ = mixing.mix(docs)
-    sources = docs.select(F.col("doc_id").alias("_id"), F.col("source"))
-    taken = rows.where("taken > 0").select("doc_id", "size", "source_size", "target", "taken")
-    return taken.join(sources, taken["doc_id"] == sources["_id"]).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return rows.where("taken > 0").select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix_sources", mix_sources)]
