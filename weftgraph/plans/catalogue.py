@@ -16,6 +16,7 @@ from weftgraph.plans.catalog import PropertyGraph
 from weftgraph.plans.driver_graph import load
 from weftgraph.plans.traversal import __
 from weftgraph.sources import io
+from weftgraph.streaming import ingest
 
 _queries: dict[str, Callable[[PropertyGraph], DataFrame]] = {}
 _sql: dict[str, str] = {}
@@ -103,6 +104,25 @@ def _round_trip(g, form):
     return back.traversal().V().has_label("nation").as_("n").out("inRegion").table(nation="n.n_name", region=".r_name")
 
 
+def _partitioned(g):
+    """Orders written in folders by status, and read with a predicate on it."""
+    path = storage.new_path(g.spark, "layout")
+    io.write_graph(PropertyGraph(g.spark).vertex("orders", g.vertices["orders"].df, "o_orderkey"), path, partition_by={"orders": ["o_orderstatus"]})
+    back = io.read_graph(g.spark, path, {"orders": "o_orderkey"}, [])
+    return V(back, "orders").has("o_orderstatus", "F").table(id=".id", price=".o_totalprice")
+
+
+def _streamed(g):
+    """Regions ingested as a stream, with ids of their own."""
+    path = storage.new_path(g.spark, "stream")
+    g.vertices["region"].df.write.parquet(f"{path}/in")
+    stream = g.spark.readStream.schema(g.vertices["region"].df.schema).parquet(f"{path}/in")
+    ingest.append(stream, f"{path}/out", f"{path}/state", id_col="id").awaitTermination()
+    return V(PropertyGraph(g.spark).vertex("region", g.spark.read.parquet(f"{path}/out")), "region").table(id=".id", name=".r_name").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.max("name").alias("last"))
+
+
+q("partitioned_layout", _partitioned, "SELECT o_orderkey AS id, o_totalprice AS price FROM orders WHERE o_orderstatus = 'F'")
+q("stream_ids", _streamed, "SELECT count(*) AS n, count(*) AS ids, max(r_name) AS last FROM region")
 for form in ("graphson", "csv"):
     q(f"{form}_round_trip", lambda g, form=form: _round_trip(g, form), "SELECT n_name AS nation, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
 
@@ -267,6 +287,7 @@ q("dedup_select", lambda g: V(g, "region").as_("r").in_("inRegion").as_("n").in_
 q("dedup_by", lambda g: V(g, "customer").dedup(".c_mktsegment").table(segment=".c_mktsegment"), "SELECT DISTINCT c_mktsegment AS segment FROM customer")
 q("aggregate_cap", lambda g: V(g, "region").fold(".r_name"), "SELECT list_sort(list(r_name)) AS value FROM region")
 q("sack", lambda g: V(g, "customer").has("c_acctbal", P.lt(0.0)).sack("m", 1.0, lambda s, c: s).out("placed").sack("m", None, lambda s, c: s * c(".o_totalprice")).sack_sum("m", ".o_orderstatus").select("key", F.round("value", 2).alias("value")), "SELECT o_orderstatus AS key, round(sum(o_totalprice), 2) AS value FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal < 0 GROUP BY 1")
+q("sack_max", lambda g: V(g, "customer").sack("m", 0.0, lambda s, c: s).out("placed").sack("m", None, lambda s, c: s + c(".o_totalprice")).sack_sum("m", ".o_orderstatus", "max"), "SELECT o_orderstatus AS key, max(o_totalprice) AS value FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
 q("sample_seeded", lambda g: V(g, "customer").sample(10, seed=7, id=".id"), "SELECT c_custkey AS id FROM customer ORDER BY md5('7|' || c_custkey), c_custkey LIMIT 10")
 q("bulk_repeat", lambda g: V(g, "part").repeat_counted(__.out("nextPart"), 3).groupBy("label").agg(F.sum("n").alias("paths")), f"WITH {NEXT}, a AS (SELECT dst AS v, count(*) AS n FROM np GROUP BY 1), b AS (SELECT dst AS v, sum(n) AS n FROM a JOIN np ON src = v GROUP BY 1) SELECT 'part' AS label, sum(n)::BIGINT AS paths FROM b JOIN np ON src = v")
 

@@ -1100,13 +1100,13 @@ class Traversal:
         text = F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in out.columns))
         return out.withColumn("_r", F.md5(text)).orderBy("_r", *columns).limit(n).drop("_r")
 
-    def sack_sum(self, name: str, by: str) -> DataFrame:
-        """key, value: sacks merged by a spec."""
+    def sack_sum(self, name: str, by: str, how="sum") -> DataFrame:
+        """key, value: sacks merged by a spec: their sum, or count, max, min or mean."""
         parts = []
         for b in self.branches:
             b, c = self._spec(b, by)
             parts.append(b.df.select(c.alias("key"), F.col(f"_sack_{name}").alias("value")))
-        return reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.sum("value").alias("value"))
+        return reduce(DataFrame.unionByName, parts).groupBy("key").agg(REDUCERS[how]("value").alias("value"))
 
 
 def spec_column(t: Traversal, b: Branch, spec):
