@@ -8,7 +8,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.operators.algorithms import components  # noqa: F401
+from weftgraph.operators import algorithms
 from weftgraph.plans.storage import cut, delete, forget, new_path, shared_dir  # noqa: F401
 
 #: A word is a run of characters other than space and U+0009 to U+000D.
@@ -64,6 +64,22 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def components(edges: DataFrame, one_task=2_000_000) -> DataFrame:
+    """(node, component) of every node of ``edges`` (a, b: long); component is the smallest reachable node. Up to ``one_task``
+    distinct edges (16 bytes each) are solved in one task; more by the core's star rounds."""
+    distinct = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    distinct = cut(distinct, "edges")
+    if distinct.count() > one_task:
+        return algorithms.components(distinct)
+
+    def solve(key, group):
+        a, b = (group.column(k).to_numpy() for k in ("a", "b"))
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        return pa.table({"node": pa.array(nodes), "component": pa.array(nodes[roots(len(nodes), at[: len(a)], at[len(a) :])])})
+
+    return distinct.groupBy(F.lit(0).alias("all")).applyInArrow(solve, "node long, component long")
+
+
 def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The smallest index that each of n nodes reaches by the links (i, j)."""
     at = np.arange(n)

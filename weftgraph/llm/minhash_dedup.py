@@ -144,7 +144,8 @@ def _sets(size):
 
 
 def _ask(buckets: int):
-    """bucket, blob: the retained values of (_node, _kept) rows, sorted, and the nodes that retain them."""
+    """bucket, blob: the retained values of (_node, _kept) rows, sorted, and the nodes that retain them. A bucket needs 36 bits of
+    a value: values that coincide there only make candidates more."""
 
     def run(batches):
         for batch in (x for b in batches for x in slices(b, 5000)):
@@ -152,7 +153,7 @@ def _ask(buckets: int):
             kept = batch.column("_kept").take(pa.array(first))
             value = kept.flatten().to_numpy(zero_copy_only=False)
             owner = np.repeat(node, np.diff(kept.offsets.to_numpy()))
-            bucket = value % buckets
+            bucket, value = value % buckets, value // buckets & (1 << 36) - 1
             order = np.lexsort((value, bucket))
             value, owner, bucket = value[order], owner[order], bucket[order]
             used = np.unique(bucket)
@@ -317,13 +318,15 @@ def _tile_tasks(rows: DataFrame, tile: int) -> DataFrame:
     return out
 
 
-def _found(dealt: DataFrame, sets: DataFrame, percent: int, per_task=4000) -> DataFrame:
-    """The links' components of ``dealt`` (sub, large, side, same, rep): a, b. Small subs share a task."""
+def _found(dealt: DataFrame, rows: DataFrame, shingle: int, percent: int, broadcast_ids: int, per_task=500) -> DataFrame:
+    """The links' components of ``dealt`` (sub, large, side, same, rep): a, b. Small subs share a task. Sets are made again from
+    the texts (``rows``: _id, _text) where they are wanted."""
     dealt = cut(dealt, "minhash-dealt")
-    tasks = max(1, dealt.where("large = 0").count() // per_task)
-    dealt = dealt.withColumn("task", F.when(F.col("large") == 0, F.pmod(F.xxhash64("sub"), F.lit(tasks))).otherwise(F.col("sub")))
-    rows = dealt.join(sets, "rep").select("large", "task", "sub", "side", "same", "rep", "_values")
-    return rows.groupBy("large", "task").applyInArrow(_compare(percent), "a long, b long")
+    small, n = dealt.agg(F.count_if(F.col("large") == 0), F.count("*")).first()
+    dealt = dealt.withColumn("task", F.when(F.col("large") == 0, F.pmod(F.xxhash64("sub"), F.lit(max(1, small // per_task)))).otherwise(F.col("sub")))
+    texts = rows.join(F.broadcast(dealt) if n <= broadcast_ids else dealt, F.col("_id") == F.col("rep"))
+    sets = texts.select("large", "task", "sub", "side", "same", "rep", "_text").mapInArrow(_sets(shingle), "large int, task long, sub long, side int, same boolean, rep long, _values binary")
+    return sets.groupBy("large", "task").applyInArrow(_compare(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle=5, percent=85, tile=512, bucket_entries=1 << 20, broadcast_ids=500_000, most_frequent=1 << 18, short_list=256) -> DataFrame:
@@ -338,7 +341,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle=5
     late = docs.sparkSession.sparkContext.broadcast(frequent(rows, shingle, most=most_frequent))
     sketched = cut(rows.mapInArrow(_sketches(shingle, percent, late), "_id long, n_shingles long, _set string, _kept array<bigint>"), "minhash-sketches")
     ok = F.col("_id").isNotNull() & (F.col("n_shingles") > 0)
-    node = F.shiftrightunsigned(F.xxhash64("_set"), 1)
+    node = F.shiftrightunsigned(F.xxhash64("_set"), 16)  # names of sets; sets that share one only make candidates more
     classes = cut(sketched.where(ok).groupBy("_set").agg(F.min("_id").alias("rep"), F.max("n_shingles").alias("n")).withColumn("node", node), "minhash-classes")
     entries = sketched.where(ok).agg(F.coalesce(F.sum(F.size("_kept")), F.lit(0))).first()[0]
     asked = sketched.where(ok).select(node.alias("_node"), "_kept").mapInArrow(_ask(max(1, -(-entries // bucket_entries))), "bucket int, blob binary")
@@ -346,11 +349,6 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle=5
     lists = cut(lists.join(classes.select("node", "rep", "n"), "node").groupBy("list", "rep").agg(F.max("weight").alias("weight"), F.max("n").alias("n")), "minhash-lists")
     members = cut(lists.groupBy("rep").agg(F.sum("weight").alias("degree"), F.max("n").alias("n")), "minhash-members")
 
-    def sets_of(reps: DataFrame) -> DataFrame:
-        wanted = reps.select(F.col("rep").alias("_id")).distinct()
-        texts = rows.join(F.broadcast(wanted) if wanted.count() <= broadcast_ids else wanted, "_id")
-        return cut(texts.select(F.col("_id").alias("rep"), "_text").mapInArrow(_sets(shingle), "rep long, _values binary"), "minhash-sets")
-
     size = members.select("rep", "n")
 
     def possible(pairs: DataFrame) -> DataFrame:
@@ -369,7 +367,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle=5
     others = star.join(hot, "head").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).select(sub, F.lit(1).alias("side"), "rep")
     homes = hot.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(sub, F.lit(0).alias("side"), F.col("head").alias("rep"))
     dealt = others.unionByName(homes).select("sub", F.lit(0).alias("large"), "side", F.lit(False).alias("same"), "rep")
-    first = cut(components(_found(dealt, sets_of(dealt), percent)), "minhash-first")
+    first = cut(components(_found(dealt, rows, shingle, percent, broadcast_ids)), "minhash-first")
     # Lists of several components.
     known = lists.join(first, F.col("rep") == F.col("node"), "left").select("list", "rep", "n", "weight", F.coalesce("component", "rep").alias("c"))
     mixed = known.groupBy("list").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.min("rep").alias("b"), F.count("*").alias("members")).where("least < most")
@@ -384,7 +382,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle=5
     major = placed.groupBy("cluster", "c").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max(F.struct("k", "c"))["c"].alias("major"))
     cell = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * (1 + 1e-9))).cast("int").alias("cell")
     placed = placed.join(major, "cluster").select("cluster", cell, "rep", (F.col("c") != F.col("major")).alias("minor"))
-    second = _found(_tile_tasks(placed, tile), sets_of(placed), percent)
+    second = _found(_tile_tasks(placed, tile), rows, shingle, percent, broadcast_ids)
     groups = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second))
     named = classes.drop("node").join(groups, F.col("rep") == F.col("node"), "left")
     named = named.select(F.col("_set").alias("s"), F.coalesce("component", "rep").alias("component_id"))
