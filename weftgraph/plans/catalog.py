@@ -123,9 +123,13 @@ class PropertyGraph:
         named = rows.withColumnsRenamed(dict(zip((*_tuple(src), *_tuple(dst)), (*e.src, *e.dst), strict=True)))
         return self.edge(label, src_label, dst_label, e.df.unionByName(named, allowMissingColumns=True), e.src, e.dst, e.keys)
 
-    def bulk_add_edges(self, label: str, src_label: str, dst_label: str, pairs: DataFrame, src_prop: str, dst_prop: str) -> PropertyGraph:
-        """Edges from pairs of property values: ``pairs`` (out, in, other columns as properties)."""
+    def bulk_add_edges(self, label: str, src_label: str, dst_label: str, pairs: DataFrame, src_prop: str, dst_prop: str, unique=False) -> PropertyGraph:
+        """Edges from pairs of property values: ``pairs`` (out, in, other columns as properties). A value that several vertices
+        have makes an edge for each; with ``unique`` it is an error, for which the two properties are grouped once."""
         a, b = self.vertices[src_label], self.vertices[dst_label]
+        for v, prop in ((a, src_prop), (b, dst_prop)) if unique else ():
+            if not self.duplicates(v.label, prop).isEmpty():
+                raise ValueError(f"{v.label}.{prop} is not unique")
         rows = pairs.join(a.df.select(F.col(src_prop).alias("out"), a.id().alias("src")), "out").join(b.df.select(F.col(dst_prop).alias("in"), b.id().alias("dst")), "in").drop("out", "in")
         return self.add_edges(label, src_label, dst_label, rows)
 

@@ -21,7 +21,8 @@ from weftgraph.operators import services
 from weftgraph.plans.catalog import PropertyGraph, columns_id
 from weftgraph.plans.storage import cut
 
-JOIN_VALUES = 1000  # within() and without() of more values than this become joins
+JOIN_VALUES = 1000  # within() and without() of more values than this become joins,
+JOIN_BYTES = 16_000_000  # broadcast joins up to this size
 
 
 @dataclasses.dataclass(frozen=True)
@@ -139,8 +140,8 @@ class Traversal:
     """``branches``: a list, or a function that builds it when first asked for. ``merged``: a function that builds the same
     rows merged by their last element, with their number in ``_bulk``, for results that don't need the paths."""
 
-    def __init__(self, graph: PropertyGraph, branches, scope=None, merged=None, ordered=()):
-        self.graph, self.scope, self._merged, self.ordered = graph, scope, merged, tuple(ordered)
+    def __init__(self, graph: PropertyGraph, branches, scope=None, merged=None, ordered=(), stored=None):
+        self.graph, self.scope, self._merged, self.ordered, self.stored = graph, scope, merged, tuple(ordered), dict(stored or {})
         self._branches = branches if callable(branches) else list(branches)
 
     @property
@@ -150,7 +151,7 @@ class Traversal:
         return self._branches
 
     def _new(self, branches) -> Traversal:
-        return Traversal(self.graph, branches, self.scope, ordered=self.ordered)
+        return Traversal(self.graph, branches, self.scope, ordered=self.ordered, stored=self.stored)
 
     def _each(self, f) -> Traversal:
         return self._new([x for b in self.branches for x in f(b)])
@@ -246,8 +247,9 @@ class Traversal:
                 return [b] if p.absent else []
             if p.kind in ("within", "without") and len(p.values) > JOIN_VALUES:
                 values = self.graph.spark.createDataFrame([(v,) for v in p.values], ["_value"])
+                few = sum(len(v) if isinstance(v, (str, bytes)) else 8 for v in p.values) <= JOIN_BYTES
                 how = "left_semi" if p.kind == "within" else "left_anti"
-                return [dataclasses.replace(b, df=b.df.join(F.broadcast(values) if len(p.values) <= 1_000_000 else values, c == F.col("_value"), how))]
+                return [dataclasses.replace(b, df=b.df.join(F.broadcast(values) if few else values, c == F.col("_value"), how))]
             if p.kind == "within" and not p.values:
                 return []
             return [b.where(p(c, lambda name, b=b: F.col(b.here.prefix + name)))]
@@ -631,7 +633,37 @@ class Traversal:
         """Goes on with the rows of a result as values: a single column, or a value with a field for each column."""
         cols = rows.columns
         df = rows.select((F.col(cols[0]) if len(cols) == 1 else F.struct(*cols)).alias("p0__value"))
-        return Traversal(self.graph, [Branch(df, (Pos("value", None, None, "p0__"),), {})])
+        return Traversal(self.graph, [Branch(df, (Pos("value", None, None, "p0__"),), {})], stored=self.stored)
+
+    def store(self, name: str, step: str, *arguments, **named) -> Traversal:
+        """Keeps the result of a step that ends a traversal under a name, for cap(), and goes on as if it weren't there."""
+        out = self._new(self.branches)
+        out.stored[name] = getattr(self, step)(*arguments, **named)
+        return out
+
+    def aggregate(self, name: str, spec=".id") -> Traversal:
+        """Keeps the values of a spec under a name, for cap_list() and where_stored()."""
+        return self.store(name, "table", value=spec)
+
+    def cap(self, name: str) -> DataFrame:
+        """What was kept under a name."""
+        return self.stored[name]
+
+    def cap_list(self, name: str) -> DataFrame:
+        """value: the sorted list of the values kept under a name; bounded use only, as the list lies in one row."""
+        return self.stored[name].agg(F.sort_array(F.collect_list("value")).alias("value"))
+
+    def where_stored(self, name: str, spec=".id", inside=True) -> Traversal:
+        """Rows whose spec is among the values kept under a name, or isn't."""
+
+        def one(b):
+            b, c = self._spec(b, spec)
+            if c is None:
+                return [] if inside else [b]
+            values = self.stored[name].select(F.col("value").alias("_kept")).distinct()
+            return [dataclasses.replace(b, df=b.df.join(values, c == F.col("_kept"), "left_semi" if inside else "left_anti"))]
+
+        return self._each(one)
 
     def then(self, step: str, *arguments, **named) -> Traversal:
         """Goes on after a step that ends a traversal: then("group_count", ".label").has("count", P.gt(3))."""
@@ -817,7 +849,7 @@ class Traversal:
         """The order of what follows: of limit(), and of the rows of table(). ``by``: specs (with "-" descending), functions from
         a getter to a column, or anonymous traversals (see _spec); ``shuffle``: a seed for a hash of the path instead."""
         by = by or (("." + "id",) if shuffle is None else (lambda get: F.xxhash64(F.lit(shuffle), get("path")),))
-        return Traversal(self.graph, self.branches, self.scope, ordered=by)
+        return Traversal(self.graph, self.branches, self.scope, ordered=by, stored=self.stored)
 
     def _order(self, b: Branch, by) -> tuple[Branch, list[tuple[Column, bool]]]:
         """(column, descending) of each spec."""
