@@ -251,6 +251,13 @@ def test_steps_on_results(modern, spark):
     assert edges.count_edges() == 7
 
 
+def test_repeat_both_ways_is_one_plan(modern):
+    t = modern.traversal().V().has_label("person").has("name", "marko").repeat(__.both("knows"), times=4)
+    assert len(t.branches) == 1 and names(t.table(name=".name"), "name") == sorted(["marko"] * 4)
+    t = modern.traversal().V().has("name", "marko").repeat(__.both(), times=2)
+    assert len(t.branches) < 8 and t.count().first()["count"] == 7  # neighbours of vadas, josh and lop
+
+
 def test_fulltext(spark):
     from weftgraph.functions.predicates import FullText
     from weftgraph.plans.catalog import PropertyGraph

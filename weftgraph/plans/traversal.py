@@ -916,6 +916,15 @@ class Traversal:
             path.append(pos)
         return dataclasses.replace(b, df=b.df.drop(*gone), path=tuple(path))
 
+    @staticmethod
+    def _joined(branches: list[Branch]) -> list[Branch]:
+        """Branches of the same chain of labels as one: a hop both ways doubles rows, not plans."""
+        groups: dict = {}
+        for b in branches:
+            chain = tuple((p.kind, p.label, p.prefix, p.hydrated, p.origin, id(p.table) if p.kind == "edge" else 0) for p in b.path)
+            groups.setdefault((chain, tuple(sorted(b.names.items())), tuple(sorted(b.df.columns))), []).append(b)
+        return [g[0] if len(g) == 1 else dataclasses.replace(g[0], df=reduce(DataFrame.unionByName, (b.df for b in g))) for g in groups.values()]
+
     def _repeated(self, body, times, until=None, emit=None, until_first=False, emit_first=False, most=100_000) -> Traversal:
         out, now = [], [dataclasses.replace(b, loops=0) for b in self.branches]
         if times == 0:
@@ -949,7 +958,7 @@ class Traversal:
                 out += done
             if emit is not None and emit_first:
                 out += emitted(now)
-            now = [dataclasses.replace(b, loops=depth) for b in self._run(body, now).branches]
+            now = self._joined([dataclasses.replace(b, loops=depth) for b in self._run(body, now).branches])
             if not now or depth == times:
                 out += now
                 break
