@@ -148,20 +148,22 @@ def train(rows, labels: np.ndarray, languages: list[str], bits: int, texts: np.n
     return Model(languages, emb @ out, bias, float(best), float(min(most_threshold, np.quantile(sure, reject))))
 
 
-def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per_language=250, bits=15, pieces=(4, 12, 40)) -> Model | None:
-    """Trains on about ``per_language`` rows of each language of ``docs``, chosen by a hash of the id: this bounds what
-    the driver gathers to ``per_language`` x languages x (1 + pieces) sparse rows. None where no row can be learned from."""
+def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per_language=250, bits=15, pieces=(4, 12, 40), most_languages=200) -> Model | None:
+    """Trains on about ``per_language`` rows of each of the ``most_languages`` most frequent languages of ``docs``, chosen by a
+    hash of the id: this bounds what the driver gathers to ``per_language`` x languages x (2 + pieces) sparse rows. Rows with
+    null text or language, or without a letter, aren't learned from; rows that repeat an id and text are chosen together;
+    ties of languages go by name. None where no row can be learned from."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
     rows = rows.where("_text is not null and _lang is not null").where(F.col("_text").rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in rows.groupBy("_lang").count().collect()}
+    found = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(most_languages).collect()
+    counts = {r[0]: r[1] for r in found}
     if not counts:
         return None
     languages = sorted(counts)
-    share: Column = F.lit(0.0)
-    for lang in languages:
-        share = F.when(F.col("_lang") == lang, per_language / counts[lang]).otherwise(share)
+    shares = docs.sparkSession.createDataFrame([(x, per_language / counts[x]) for x in languages], "_lang string, _share double")
+    rows = rows.join(F.broadcast(shares), "_lang").select("_id", "_text", "_lang", "_share")
     u = F.pmod(F.xxhash64(F.lit("langid"), F.col("_id").cast("string"), F.octet_length("_text")), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(u < share).select(F.xxhash64(F.col("_id").cast("string"), "_text").alias("_id"), "_text", "_lang")
+    sample = rows.where(u < F.col("_share")).select(F.xxhash64(F.col("_id").cast("string"), "_text").alias("_id"), "_text", "_lang")
     found = sample.mapInArrow(_features(bits, pieces), "key long, part int, lang string, used binary, share binary").toArrow()
     if not found.num_rows:  # hash-chosen samples of tiny tables can be empty: then all rows are few enough
         found = rows.select(F.xxhash64(F.col("_id").cast("string"), "_text").alias("_id"), "_text", "_lang").where(F.col("_lang").isin([x for x in languages if counts[x] <= per_language])).mapInArrow(_features(bits, pieces), "key long, part int, lang string, used binary, share binary").toArrow()
