@@ -1,8 +1,8 @@
 """Benchmark decontamination by templates; DataFrame functions only.
 
 Numbers, names and units become typed placeholders, so that a question keeps its template when its parameters change. What a
-name is depends on case, which copies may change, so texts are compared in three forms: capitalised words are names but not
-where a sentence starts; they are names there too; no word is a name. A run of names is one placeholder.
+name is depends on case, which copies may change, so texts are compared in two forms: all capitalised words are names, a run of
+them one placeholder; no word is a name.
 
 Windows of ``width`` template tokens of the benchmark, with at least ``literals`` literal ones, form an index; document
 windows meet it in a hash join, form by form. Matches of an item that lie on one diagonal (document position minus item
@@ -38,7 +38,6 @@ STEPS = (
 TEMPLATE = (rf"{SLOT}([anu])[^ ]*", rf"{SLOT}$1")
 #: Of each form: replacements in marked tokens, in order.
 FORMS = (
-    ((f"{SLOT}s", ""),),
     ((rf"{SLOT}s([^ ]*) {SLOT}a", rf"{SLOT}a$1{JOIN}"), (f"{SLOT}s", f"{SLOT}a")),
     ((f"{SLOT}[as]", ""), (JOIN, " ")),
 )
@@ -68,17 +67,20 @@ def template(tokens: Column) -> Column:
     return F.regexp_replace(tokens, *TEMPLATE)
 
 
-def _windows(rows: DataFrame, text: str, width: int) -> DataFrame:
-    """All other columns, and pos, t0..: the windows of template tokens.
+def _windows(rows: DataFrame, text: str, width: int, flags=False) -> DataFrame:
+    """All other columns, and pos, t0..: the windows of template tokens, as hashes; with ``flags``, l0.. too: whether literal.
 
     The outer generator keeps the optimizer from testing the array before it is exploded: the test would repeat the
     array's whole expression, regular expressions included, for each of its parts."""
     keep = [c for c in rows.columns if c != text]
-    rows = rows.select(*keep, F.split(F.col(text), " ").alias("_a"))
-    n = F.greatest(F.size("_a") - (width - 1), F.lit(0))
-    zipped = F.arrays_zip(*(F.slice("_a", k + 1, n).alias(f"t{k}") for k in range(width)))
+    words = F.split(F.col(text), " ")
+    arrays = [F.transform(words, lambda x: F.xxhash64(x)).alias("_t")] + ([F.transform(words, lambda x: ~x.startswith(SLOT)).alias("_l")] if flags else [])
+    rows = rows.select(*keep, *arrays)
+    n = F.greatest(F.size("_t") - (width - 1), F.lit(0))
+    names = [f"{a}{k}" for a in ("t", "l")[: 1 + flags] for k in range(width)]
+    zipped = F.arrays_zip(*(F.slice("_" + x[0], int(x[1:]) + 1, n).alias(x) for x in names))
     rows = rows.select(*keep, zipped.alias("_z")).select(*keep, F.posexplode_outer("_z").alias("pos", "_w"))
-    return rows.where("pos is not null").select(*keep, "pos", *(F.col(f"_w.t{k}") for k in range(width)))
+    return rows.where("pos is not null").select(*keep, "pos", *(F.col(f"_w.{x}") for x in names))
 
 
 def _hash(width: int) -> Column:
@@ -94,8 +96,8 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text"
     item = ["item_id", "form"]
     items = forms(benchmark.select(F.col(item_col).alias("item_id"), marked(F.col(item_text)).alias("m"))).withColumn("t", template(F.col("m")))
     items = items.groupBy("form", "t").agg(F.min(F.struct("item_id", "m")).alias("s")).select("form", F.col("s.item_id").alias("item_id"), F.col("s.m").alias("m"), "t")
-    literal = sum((F.when(F.col(f"t{k}").startswith(SLOT), 0).otherwise(1) for k in range(width)), F.lit(0))
-    index = _windows(items.select(*item, "t"), "t", width).where(literal >= literals)
+    literal = sum((F.col(f"l{k}").cast("int") for k in range(width)), F.lit(0))
+    index = _windows(items.select(*item, "t"), "t", width, True).where(literal >= literals)
     index = cut(index.select(*item, "pos", _hash(width).alias("h")).groupBy(*item, "h").agg(F.min("pos").alias("ipos")), "decontam-index")
     sizes = index.groupBy(*item).agg(F.count("*").alias("windows"))
     small = index.count() <= broadcast_rows
@@ -119,7 +121,9 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text"
     slotted = pairs.join(item_slots.select(*item).distinct(), item, "left_semi").select(*pair)
     keys = cut(slotted.select("_key").distinct(), "decontam-slotted")
     few = keys.count() <= broadcast_rows
-    doc_slots = slots(rows.join(F.broadcast(keys) if few else keys, "_key", "left_semi"), ["_key", "form"], "dslot", "now").distinct()
+    # Only the texts in question are marked again: the join is on the rows as they are, below the regular expressions.
+    asked = docs.select(row_key(id_col, text_col), F.col(text_col).alias("_text")).join(F.broadcast(keys) if few else keys, "_key", "left_semi")
+    doc_slots = slots(forms(asked.select("_key", marked(F.col("_text")).alias("m"))), ["_key", "form"], "dslot", "now").distinct()
     used = hits.join(slotted, pair, "left_semi").withColumn("islot", F.explode(F.sequence(F.col("ipos"), F.col("ipos") + (width - 1))))
     used = used.join(item_slots, [*item, "islot"]).select(*pair, "diag", "ipos", "islot", "was", (F.col("islot") + F.col("diag")).alias("dslot"))
     values = used.join(doc_slots, ["_key", "form", "dslot"])
