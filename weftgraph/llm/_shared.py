@@ -26,6 +26,7 @@ def slices(batch: pa.RecordBatch, rows: int = 500):
     """A batch in slices, so that only a few of its rows are Python objects at a time."""
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def lower_ascii(text: Column) -> Column:

@@ -329,7 +329,7 @@ def _found(dealt: DataFrame, rows: DataFrame, shingle: int, percent: int, broadc
     return sets.groupBy("large", "task").applyInArrow(_compare(percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle=5, percent=85, tile=512, bucket_entries=1 << 20, broadcast_ids=500_000, most_frequent=1 << 18, short_list=256) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle=5, percent=85, tile=512, bucket_entries=1 << 19, broadcast_ids=500_000, most_frequent=1 << 18, short_list=256) -> DataFrame:
     """id, n_shingles, component_id, kept of every row.
 
     Null texts and texts without words have an empty set and link with nothing, as do rows with null id. Rows that
