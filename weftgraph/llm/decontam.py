@@ -36,16 +36,19 @@ STEPS = (
     (rf"({SLOT}n[0-9{POINT}]+) ({UNITS})( |$)", rf"$1 {SLOT}u$2$3"),
 )
 TEMPLATE = (rf"{SLOT}([anu])[^ ]*", rf"{SLOT}$1")
-#: Of each form: replacements in marked tokens, in order.
+START = (rf"{SLOT}s([^ ]*) {SLOT}a", rf"{SLOT}a$1{JOIN}")  # a run of names from where a sentence starts
+#: Of each form: whether START goes first, and plain replacements in marked tokens, in order.
 FORMS = (
-    ((rf"{SLOT}s([^ ]*) {SLOT}a", rf"{SLOT}a$1{JOIN}"), (f"{SLOT}s", f"{SLOT}a")),
-    ((f"{SLOT}[as]", ""), (JOIN, " ")),
+    (True, ((f"{SLOT}s", f"{SLOT}a"),)),
+    (False, ((f"{SLOT}s", ""), (f"{SLOT}a", ""), (JOIN, " "))),
 )
 
 
 def marked(text: Column) -> Column:
     """The tokens of a text, by single spaces; slots start with SLOT and their type, and keep their value."""
-    out = F.concat(F.lit(f" {STOP} "), F.translate(F.coalesce(text, F.lit("")), SLOT + STOP + POINT + JOIN, "    "))
+    text = F.coalesce(text, F.lit(""))
+    text = F.when(F.contains(text, F.lit(STOP)) | F.contains(text, F.lit(POINT)), F.translate(text, STOP + POINT, "  ")).otherwise(text)
+    out = F.concat(F.lit(f" {STOP} "), text)
     for k, (pattern, to) in enumerate(STEPS):
         out = F.regexp_replace(F.lower(out) if k == len(STEPS) - 1 else out, pattern, to)
     return F.btrim(F.regexp_replace(out, " +", " "), F.lit(" "))
@@ -55,10 +58,10 @@ def forms(rows: DataFrame) -> DataFrame:
     """A row (form, m) for each form of the marked tokens m."""
     kept = [c for c in rows.columns if c != "m"]
     made = []
-    for n, steps in enumerate(FORMS):
-        out = F.col("m")
-        for pattern, to in steps:
-            out = F.regexp_replace(out, pattern, to)
+    for n, (start, steps) in enumerate(FORMS):
+        out = F.regexp_replace("m", *START) if start else F.col("m")
+        for old, new in steps:
+            out = F.replace(out, F.lit(old), F.lit(new))
         made.append(F.struct(F.lit(n).alias("form"), out.alias("m")))
     return rows.select(*kept, F.explode_outer(F.array(*made)).alias("_f")).select(*kept, "_f.form", "_f.m")
 
@@ -67,20 +70,17 @@ def template(tokens: Column) -> Column:
     return F.regexp_replace(tokens, *TEMPLATE)
 
 
-def _windows(rows: DataFrame, text: str, width: int, flags=False) -> DataFrame:
-    """All other columns, and pos, t0..: the windows of template tokens, as hashes; with ``flags``, l0.. too: whether literal.
+def _windows(rows: DataFrame, text: str, width: int) -> DataFrame:
+    """All other columns, and pos, t0..: the windows of template tokens.
 
     The outer generator keeps the optimizer from testing the array before it is exploded: the test would repeat the
     array's whole expression, regular expressions included, for each of its parts."""
     keep = [c for c in rows.columns if c != text]
-    words = F.split(F.col(text), " ")
-    arrays = [F.transform(words, lambda x: F.xxhash64(x)).alias("_t")] + ([F.transform(words, lambda x: ~x.startswith(SLOT)).alias("_l")] if flags else [])
-    rows = rows.select(*keep, *arrays)
-    n = F.greatest(F.size("_t") - (width - 1), F.lit(0))
-    names = [f"{a}{k}" for a in ("t", "l")[: 1 + flags] for k in range(width)]
-    zipped = F.arrays_zip(*(F.slice("_" + x[0], int(x[1:]) + 1, n).alias(x) for x in names))
+    rows = rows.select(*keep, F.split(F.col(text), " ").alias("_a"))
+    n = F.greatest(F.size("_a") - (width - 1), F.lit(0))
+    zipped = F.arrays_zip(*(F.slice("_a", k + 1, n).alias(f"t{k}") for k in range(width)))
     rows = rows.select(*keep, zipped.alias("_z")).select(*keep, F.posexplode_outer("_z").alias("pos", "_w"))
-    return rows.where("pos is not null").select(*keep, "pos", *(F.col(f"_w.{x}") for x in names))
+    return rows.where("pos is not null").select(*keep, "pos", *(F.col(f"_w.t{k}") for k in range(width)))
 
 
 def _hash(width: int) -> Column:
@@ -96,8 +96,8 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text"
     item = ["item_id", "form"]
     items = forms(benchmark.select(F.col(item_col).alias("item_id"), marked(F.col(item_text)).alias("m"))).withColumn("t", template(F.col("m")))
     items = items.groupBy("form", "t").agg(F.min(F.struct("item_id", "m")).alias("s")).select("form", F.col("s.item_id").alias("item_id"), F.col("s.m").alias("m"), "t")
-    literal = sum((F.col(f"l{k}").cast("int") for k in range(width)), F.lit(0))
-    index = _windows(items.select(*item, "t"), "t", width, True).where(literal >= literals)
+    literal = sum((F.when(F.col(f"t{k}").startswith(SLOT), 0).otherwise(1) for k in range(width)), F.lit(0))
+    index = _windows(items.select(*item, "t"), "t", width).where(literal >= literals)
     index = cut(index.select(*item, "pos", _hash(width).alias("h")).groupBy(*item, "h").agg(F.min("pos").alias("ipos")), "decontam-index")
     sizes = index.groupBy(*item).agg(F.count("*").alias("windows"))
     small = index.count() <= broadcast_rows
@@ -108,8 +108,8 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text"
 
     def decide(found: DataFrame) -> DataFrame:
         each = found.groupBy(*pair, "diag").agg(F.collect_set("ipos").alias("at"))  # at most an item's windows
-        every = found.select(*pair, "ipos").distinct().groupBy(*pair).agg(F.count("*").alias("matched"))
-        each = each.groupBy(*pair).agg(F.max(F.size("at")).alias("longest")).join(every, pair)
+        # All together at most a position for each token of the text, which a task holds anyway.
+        each = each.groupBy(*pair).agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("matched"), F.max(F.size("at")).alias("longest"))
         each = each.join(F.broadcast(sizes) if small else sizes, item)
         return each.where((2 * F.col("matched") >= F.col("windows")) | (F.col("longest") >= run)).select(*pair, "matched", "windows")
 
@@ -171,13 +171,19 @@ def _sql_replaced(text: str, steps, lower_last=False) -> str:
 
 
 def _sql_marked(text: str) -> str:
-    out = _sql_replaced(f"' {STOP} ' || translate(coalesce({text}, ''), '{SLOT + STOP + POINT + JOIN}', '    ')", STEPS, True)
+    out = _sql_replaced(f"' {STOP} ' || translate(coalesce({text}, ''), '{STOP + POINT}', '  ')", STEPS, True)
     return f"trim(regexp_replace({out}, ' +', ' ', 'g'), ' ')"
 
 
 def _sql_forms(rows: str, key: str) -> str:
     """key, form, m, t of rows with m."""
-    each = " UNION ALL ".join(f"SELECT {key}, {n} AS form, {_sql_replaced('m', steps)} AS m FROM {rows}" for n, steps in enumerate(FORMS))
+    made = []
+    for n, (start, steps) in enumerate(FORMS):
+        m = _sql_replaced("m", [START]) if start else "m"
+        for old, new in steps:
+            m = f"replace({m}, '{old}', '{new}')"
+        made.append(f"SELECT {key}, {n} AS form, {m} AS m FROM {rows}")
+    each = " UNION ALL ".join(made)
     return f"SELECT *, {_sql_replaced('m', [TEMPLATE])} AS t FROM ({each})"
 
 
