@@ -115,9 +115,14 @@ def _literal(spark: SparkSession, rows, schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def candidates(text: Column, held: str) -> Column:
-    """(file, text) of the lines that hold an anchor, and of the windows of wrapped lines around them."""
-    lines = F.transform(F.split(text, "[\r\n]+"), lambda x: F.struct(x.alias("l"), x.rlike(held).alias("h"), (F.length(x) <= WRAPPED).alias("w")))
+def lines_of(text: Column, held: str) -> Column:
+    """(l, h, w): lines, whether they hold an anchor, and whether they are short enough to be wrapped text."""
+    return F.transform(F.split(text, "[\r\n]+"), lambda x: F.struct(x.alias("l"), x.rlike(held).alias("h"), (F.length(x) <= WRAPPED).alias("w")))
+
+
+def candidates(lines: Column) -> Column:
+    """(file, text) of the lines that hold an anchor, and of the windows of wrapped lines around them. ``lines``: a column that
+    holds lines_of(), not the expression, which would be evaluated for each window."""
     one = F.transform(F.filter(lines, lambda x: x["h"]), lambda x: F.struct(F.lit(False).alias("file"), x["l"].alias("text")))
     starts = F.filter(F.transform(lines, lambda x, i: i), lambda i: F.exists(F.slice(lines, i + 1, LINES), lambda x: x["h"]) & F.element_at(lines, i + 1)["w"])
 
@@ -138,7 +143,10 @@ def notices(files: DataFrame, templates=TEMPLATES, texts=TEXTS, threshold=0.75)
     is_file = F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
     files = files.where(F.col("text").rlike(held) | is_file).where("text is not null")
     whole = F.when(is_file, F.array(F.struct(F.lit(True).alias("file"), F.col("text"))))
-    units = files.select("_key", F.concat(candidates(F.col("text"), held), F.coalesce(whole, F.array().cast("array<struct<file:boolean,text:string>>"))).alias("u"))
+    files = files.select("_key", whole.alias("_whole"), lines_of(F.col("text"), held).alias("_lines"))
+    # A generator between keeps the optimizer from putting the expression in the column's place.
+    files = files.select("_key", "_whole", F.explode_outer(F.array("_lines")).alias("_lines"))
+    units = files.select("_key", F.concat(candidates(F.col("_lines")), F.coalesce("_whole", F.array().cast("array<struct<file:boolean,text:string>>"))).alias("u"))
     units = units.select("_key", F.posexplode_outer("u").alias("unit", "u")).select("_key", "unit", "u.file", F.lower("u.text").alias("l"))
     terms = units.select("_key", "unit", "file", F.explode(F.regexp_extract_all("l", F.lit(TERM), 0)).alias("term"))
     # By candidate from here on: counts, sums and norms need no other shuffle.
