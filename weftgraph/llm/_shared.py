@@ -29,6 +29,13 @@ def slices(batch: pa.RecordBatch, rows: int = 500):
     pa.default_memory_pool().release_unused()
 
 
+def settle(spark: SparkSession) -> None:
+    """Lets go of what finished queries left behind: Spark removes their shuffles and broadcasts, from disk too, once the
+    driver's JVM has collected the plans, which it may not do for long; Arrow's pool keeps memory of results."""
+    pa.default_memory_pool().release_unused()
+    spark._jvm.System.gc()
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lowered, all else as it is."""
     return F.translate(text, UPPER, LOWER)

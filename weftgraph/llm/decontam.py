@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm._shared import cut, table
+from weftgraph.llm._shared import cut, settle, table
 
 SLOT, STOP, POINT, JOIN = "\x01", "\x02", "\x03", "\x04"
 #: Units of measure after a number.
@@ -93,6 +93,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text"
     _key is a hash of id and text (see row_key): repeated rows share it. Items of equal templates are one, under their
     smallest id. The index is broadcast up to ``broadcast_rows`` rows and joined by a shuffle beyond.
     """
+    settle(docs.sparkSession)
     item = ["item_id", "form"]
     items = forms(benchmark.select(F.col(item_col).alias("item_id"), marked(F.col(item_text)).alias("m"))).withColumn("t", template(F.col("m")))
     items = items.groupBy("form", "t").agg(F.min(F.struct("item_id", "m")).alias("s")).select("form", F.col("s.item_id").alias("item_id"), F.col("s.m").alias("m"), "t")

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm._shared import slices, table
+from weftgraph.llm._shared import settle, slices, table
 
 ORDERS = (1, 2, 3, 4)
 LETTER, PLAIN = regex.compile(r"\p{L}"), regex.compile(r"[\s\d]+")
@@ -176,7 +176,10 @@ def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per_
     labels = np.array([place.get(x, len(seen)) for x in given])
     keys = found.column("key").to_numpy()
     del found, sample
-    return train(data, labels, seen, bits, keys)
+    model = train(data, labels, seen, bits, keys)
+    del data
+    settle(docs.sparkSession)
+    return model
 
 
 def _predict(shipped, bits, text_at=1, keep_rows=False):

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm._shared import components, cut, pack, roots, slices, table, unpack
+from weftgraph.llm._shared import components, cut, pack, roots, settle, slices, table, unpack
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
@@ -338,6 +338,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle=5
     ``broadcast_ids`` and joined by a shuffle beyond; ``most_frequent`` bounds the broadcast list of frequent shingles.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text"))
+    settle(docs.sparkSession)
     late = docs.sparkSession.sparkContext.broadcast(frequent(rows, shingle, most=most_frequent))
     sketched = cut(rows.mapInArrow(_sketches(shingle, percent, late), "_id long, n_shingles long, _set string, _kept array<bigint>"), "minhash-sketches")
     ok = F.col("_id").isNotNull() & (F.col("n_shingles") > 0)
@@ -368,6 +369,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle=5
     homes = hot.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(sub, F.lit(0).alias("side"), F.col("head").alias("rep"))
     dealt = others.unionByName(homes).select("sub", F.lit(0).alias("large"), "side", F.lit(False).alias("same"), "rep")
     first = cut(components(_found(dealt, rows, shingle, percent, broadcast_ids)), "minhash-first")
+    settle(docs.sparkSession)
     # Lists of several components.
     known = lists.join(first, F.col("rep") == F.col("node"), "left").select("list", "rep", "n", "weight", F.coalesce("component", "rep").alias("c"))
     mixed = known.groupBy("list").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.min("rep").alias("b"), F.count("*").alias("members")).where("least < most")

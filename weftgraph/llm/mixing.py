@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm._shared import cut, word_count
+from weftgraph.llm._shared import cut, settle, word_count
 
 GRID, STEP = 4294967296, 1640531527  # 2^32; round(2^32 / phi^2), odd
 
@@ -107,6 +107,7 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     Each source takes floor(target) words. Null text and texts without words have size 0 and take nothing. Null sources are one source. Rows that repeat an
     id are rows of their own. An empty table gives no rows. Only the three named columns are read.
     """
+    settle(docs.sparkSession)
     sized = docs.select(F.col(id_col).alias("key"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     sized = cut(sized, "mix-sizes")
     targets = cut(source_targets(sized, weights, budget, max_epochs), "mix-targets")
