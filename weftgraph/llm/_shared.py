@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -26,13 +28,20 @@ def slices(batch: pa.RecordBatch, rows: int = 500):
     """A batch in slices, so that only a few of its rows are Python objects at a time."""
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
+    hand_back()
+
+
+def hand_back() -> None:
+    """Returns what this process has freed to the system: Arrow's pool and, with glibc, the heap keep it otherwise."""
     pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
 
 
 def settle(spark: SparkSession) -> None:
     """Lets go of what finished queries left behind: Spark removes their shuffles and broadcasts, from disk too, once the
     driver's JVM has collected the plans, which it may not do for long; Arrow's pool keeps memory of results."""
-    pa.default_memory_pool().release_unused()
+    hand_back()
     spark._jvm.System.gc()
 
 
