@@ -284,8 +284,8 @@ def test_embeddings(spark):
     x = [(k, [math.cos(k * 0.05), math.sin(k * 0.05), 0.0], 1) for k in range(60)]
     x += [(100, None, 1), (101, [0.0] * 3, 1), (102, [1.0, float("nan"), 0.0], 1), (103, [1.0, 0.0, 0.0], None), (104, [1.0, None, 0.0], 1), (105, [1.0, 0.0], 1), (106, [], 1), (107, [float("inf"), 0.0, 0.0], 1), (0, [1.0, 0.0, 0.0], 1), (None, [1.0, 0.0, 0.0], 1), (200, [3.0, 0.0, 0.0], 2)]
     df = spark.createDataFrame([(*r, "e") for r in x], "vec_id long, embedding array<float>, label int, rep string")
-    for tile in (4, 512):
-        got = embed_dedup.near_duplicates(df, tile=tile).collect()
+    for tile, axes in ((4, 1), (5, 2), (2048, 3)):
+        got = embed_dedup.near_duplicates(df, tile=tile, axes=axes).collect()
         e = np.array([r[1] for r in x[:60]] + [[1, 0, 0]], np.float32).astype(float)
         e /= np.linalg.norm(e, axis=1, keepdims=True)
         n = (e @ e.T >= 0.93).sum(1) - 1

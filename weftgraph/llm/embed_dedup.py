@@ -6,8 +6,8 @@ the budget is within the share of at least one block, so joining each block by r
 candidates exactly loses nothing.
 
 A block's range join runs on cells over its first coordinates, as wide as the block's radius: a vector is at home in one
-cell and visits those of the forward neighbours (half of all; the other half visit it) that its ball reaches. The number
-of coordinates grows with the label's vectors, so that cells stay near the size of a task. Cells that are larger are split
+cell and visits those of the forward neighbours (half of all; the other half visit it) that its ball reaches. Each further
+coordinate (``axes``) compares fewer pairs but sends a vector to more cells. Large cells are split
 into tiles of bounded size and each task compares two tiles, so that a hot cell becomes many equal tasks. A pair is handled
 in its first block only (tasks hold whole vectors and can tell), hence pairs are neither emitted nor shuffled: a task
 returns link counts and the components that it saw.
@@ -79,11 +79,6 @@ def tile_links(left, right, same: bool, block: int, shares, threshold: float, ma
     return (np.concatenate(keep_i), np.concatenate(keep_j)) if keep_i else (i, j)
 
 
-def coordinates(n: int, tile: int, dims: int) -> int:
-    """Over how many coordinates cells go: one more for each time that the label's vectors outgrow a tile by half again."""
-    return int(np.clip(1 + np.floor(np.log(max(1.0, n / tile)) / np.log(1.5)), 1, min(4, dims)))
-
-
 def cells_of(x: np.ndarray, width: float):
     """(rows, cells, visit) of vectors ``x`` (coordinates only): the home of each, and the forward neighbours in its reach."""
     home = np.floor(x / width).astype(np.int64)
@@ -100,26 +95,23 @@ def cells_of(x: np.ndarray, width: float):
     return np.concatenate(rows), np.concatenate(cells), np.concatenate(visit)
 
 
-def _cells(shares_of, tile):
+def _cells(shares_of, axes):
     def run(batches):
         for batch in (x for b in batches for x in slices(b, 2000)):
-            vectors, total = batch.column("_vec"), batch.column("total").to_numpy()
+            vectors = batch.column("_vec")
             lengths = np.array([len(v) for v in vectors])
             out = {k: [] for k in ("row", "dim", "block", "cell", "visit")}
             for dim in np.unique(lengths).tolist():
                 matrix, shares = shares_of(dim)
-                for m in range(1, 5):
-                    part = np.nonzero((lengths == dim) & (np.array([coordinates(n, tile, shares[0][1]) for n in total.tolist()]) == m))[0]
-                    if not len(part):
-                        continue
-                    x = rotate(unit(np.array([vectors[int(r)].as_py() for r in part], dtype=float)), matrix)
-                    for k, (a, b, share) in enumerate(shares):
-                        rows, cells, visit = cells_of(x[:, a : min(a + m, b)], np.sqrt(share) * (1 + SLACK))
-                        out["row"].append(part[rows])
-                        out["dim"].append(np.full(len(rows), dim))
-                        out["block"].append(np.full(len(rows), k))
-                        out["cell"] += [",".join(map(str, c)) for c in cells.tolist()]
-                        out["visit"].append(visit)
+                part = np.nonzero(lengths == dim)[0]
+                x = rotate(unit(np.array([vectors[int(r)].as_py() for r in part], dtype=float)), matrix)
+                for k, (a, b, share) in enumerate(shares):
+                    rows, cells, visit = cells_of(x[:, a : min(a + axes, b)], np.sqrt(share) * (1 + SLACK))
+                    out["row"].append(part[rows])
+                    out["dim"].append(np.full(len(rows), dim))
+                    out["block"].append(np.full(len(rows), k))
+                    out["cell"] += [",".join(map(str, c)) for c in cells.tolist()]
+                    out["visit"].append(visit)
             if not out["row"]:
                 continue
             row = pa.array(np.concatenate(out["row"]))
@@ -184,7 +176,7 @@ def _compare(shares_of, threshold):
     return run
 
 
-def near_duplicates(vectors: DataFrame, id_col="vec_id", vec_col="embedding", label_col="label", threshold=0.93, blocks=8, tile=1024) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col="vec_id", vec_col="embedding", label_col="label", threshold=0.93, blocks=8, axes=1, tile=2048) -> DataFrame:
     """id, n_links, component_id, kept of every row, comparing rows of equal non-null labels and equal dimension.
 
     Vectors that are null, empty, zero or hold null or non-finite components, rows with null label and rows with null
@@ -206,9 +198,7 @@ def near_duplicates(vectors: DataFrame, id_col="vec_id", vec_col="embedding", la
         return known[dim]
 
     label, vec = reps.schema["_label"].dataType.simpleString(), reps.schema["_vec"].dataType.simpleString()
-    sizes = reps.groupBy("_label").agg(F.count("*").alias("total"))
-    sized = reps.join(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes, "_label")
-    home = sized.mapInArrow(_cells(shares_of, tile), f"rep long, _label {label}, dim int, block int, cell string, visit int, _vec {vec}, n long")
+    home = reps.mapInArrow(_cells(shares_of, axes), f"rep long, _label {label}, dim int, block int, cell string, visit int, _vec {vec}, n long")
     dealt = deal(home, ["_label", "dim", "block", "cell"], tile)
     found = dealt.groupBy("_label", "dim", "block", "cell", "i", "j", "v").applyInArrow(_compare(shares_of, threshold), "a long, b long, links long")
     found = cut(found, "embed-links")
