@@ -578,6 +578,21 @@ def test_lm_whole_contexts(spark):
     assert lm_score.score_whole(d.where("false"), held).count() == 0 and lm_score.score_whole(d, F.lit(True)).count() == 104
 
 
+def test_lm_seats_every_pair(spark):
+    """The lexicon only shortens codes: pairs of two words outside it are reseated too, in whatever buckets their words are."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    pool = [f"w{k}" for k in range(25)]
+    rows = [(k, words(rng, 40, pool)) for k in range(60)] + [(1000 + k, f"{rng.choice(pool)} {rng.choice(pool)}") for k in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    model = lambda **kw: {r.doc_id: r.score for r in lm_score.score_whole(d, F.col("doc_id") >= 1000, burn=4, keep=6, fixed=(0.3, 40.0, 0.4, 2.0), **kw).collect() if r.doc_id >= 1000}
+    want, noise = model(seed=1), model(seed=2)
+    got = model(words=[], chunk_tokens=200, bucket_tokens=300)
+    off = lambda x: np.mean([abs(x[k] - want[k]) for k in want])
+    assert off(got) < 1.3 * off(noise) and abs(sum(got.values()) - sum(want.values())) < 0.02 * len(want)
+
+
 def test_lm_odd(odd, none):
     got = lm_score.score_whole(odd, lm_score.fold(odd["doc_id"])).collect()
     assert len(got) == odd.count() and {r.n_tokens for r in got if r.doc_id in (1, 2, 3)} == {1} and all(r.score < 0 for r in got)
