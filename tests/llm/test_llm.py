@@ -57,6 +57,30 @@ def test_components(spark):
     assert shared.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_settle_returns_native_memory(spark):
+    """What the driver's JVM allocated outside its heap and freed goes back to the system."""
+    jvm = spark._jvm
+    status = f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/status"
+
+    def anon():
+        with open(status) as f:
+            return next(int(x.split()[1]) for x in f if x.startswith("RssAnon")) / 1024
+
+    if shared.trim_jvm(spark) is None:
+        pytest.skip("older Java")
+    made = [jvm.java.util.zip.Deflater() for _ in range(600)]
+    for k, x in enumerate(made):
+        if k % 20:  # the others keep the freed ones from lying at the end
+            x.end()
+    for _ in range(2):
+        jvm.System.gc()
+    before = anon()
+    shared.settle(spark)
+    assert before - anon() > 40
+    for x in made[::20]:
+        x.end()
+
+
 # WARC
 
 
