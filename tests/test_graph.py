@@ -312,3 +312,26 @@ def test_changes(modern, spark):
         modern.edge("e", "nobody", "person", spark.range(1))
     assert modern.rename_label("person", "human").traversal().V().has_label("human").out("knows").count().first()["count"] == 2
     assert modern.topology_properties().where("element = 'edge'").count() == 2
+
+
+def test_one_hop_children_go_by_edges(spark, tmp_path, monkeypatch):
+    """optional, choose and counts of one hop need no join of the rows with their edges before the one with its result; large sides are
+    dealt to a number of partitions of their own."""
+    from weftgraph.plans import traversal
+
+    e = [(1, 11), (1, 12), (2, 11), (None, 12)]
+    spark.createDataFrame(e, "src long, dst long").write.parquet(str(tmp_path / "e"))
+    spark.range(1, 5).write.parquet(str(tmp_path / "a"))
+    g = PropertyGraph(spark, referential=True).vertex("A", spark.read.parquet(str(tmp_path / "a"))).vertex("B", spark.range(11, 13))
+    V = g.edge("ab", "A", "B", spark.read.parquet(str(tmp_path / "e"))).traversal().V().has_label("A")
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    for many in (False, True):
+        if many:
+            monkeypatch.setattr(traversal, "JOIN_BYTES", 0)
+        some = V.optional(__.out()).table(label=".label", id=".id")
+        assert sorted(map(tuple, some.collect())) == [("A", 3), ("A", 4), ("B", 11), ("B", 11), ("B", 12)] and joins(some) == 2
+        assert ("RepartitionByExpression" in some._jdf.queryExecution().optimizedPlan().toString()) == many
+        two = V.choose(__.out(), __.out(), __.constant(0)).table(value=lambda c: F.coalesce(c(".id"), c(".value")))
+        assert sorted(r.value for r in two.collect()) == [0, 0, 11, 11, 12] and joins(two) == 3
+        by = V.branch(__.out().count(), {1: __.out()}, none=__.constant(0)).table(value=lambda c: F.coalesce(c(".id"), c(".value")))
+        assert sorted(r.value for r in by.collect()) == [0, 0, 0, 11]
