@@ -314,6 +314,27 @@ def test_changes(modern, spark):
     assert modern.topology_properties().where("element = 'edge'").count() == 2
 
 
+def test_ksp_grows_the_best_paths_first(spark, monkeypatch):
+    """Between full layers the number of paths is a power of the layer's size; few of them are written."""
+    rng_cost = lambda d, u, v: float(1 + (u * 7 + v * 5 + d * 3) % 11)
+    e = [(10 * d + u, 10 * d + 10 + v, rng_cost(d, u, v)) for d in range(6) for u in range(8 if d else 1) for v in range(8 if d < 5 else 1)]
+    best = {0: [(0.0, [0])]}
+    for u, v, c in e:  # in the order of layers
+        best[v] = sorted([*best.get(v, []), *((x + c, [*p, v]) for x, p in best[u])])
+    written, cut = [], algorithms.cut
+
+    def counted(df, name="cut"):
+        out = cut(df, name)
+        if name in ("grown", "paths"):
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(algorithms, "cut", counted)
+    found = algorithms.ksp(spark.createDataFrame(e, "src long, dst long, cost double"), 0, 60, 3).orderBy("rank").collect()
+    assert [(r.traversal_agg_cost, list(r.path)) for r in found] == best[60][:3]
+    assert max(written) < 3000 < len(best[60])
+
+
 def test_one_hop_children_go_by_edges(spark, tmp_path, monkeypatch):
     """optional, choose and counts of one hop need no join of the rows with their edges before the one with its result; large sides are
     dealt to a number of partitions of their own."""
