@@ -356,3 +356,12 @@ def test_one_hop_children_go_by_edges(spark, tmp_path, monkeypatch):
         assert sorted(r.value for r in two.collect()) == [0, 0, 11, 11, 12] and joins(two) == 3
         by = V.branch(__.out().count(), {1: __.out()}, none=__.constant(0)).table(value=lambda c: F.coalesce(c(".id"), c(".value")))
         assert sorted(r.value for r in by.collect()) == [0, 0, 0, 11]
+
+
+def test_match_filters_first(spark):
+    """A pattern that filters is joined before one that multiplies the rows, whatever their order."""
+    g = PropertyGraph(spark).vertex("A", spark.range(2)).vertex("B", spark.range(2)).vertex("C", spark.createDataFrame([(0, "x"), (1, "y")], "id long, name string"))
+    g = g.edge("ab", "A", "B", spark.createDataFrame([(0, 0), (1, 0), (1, 1)], "src long, dst long")).edge("bc", "B", "C", spark.createDataFrame([(0, 0), (1, 1)], "src long, dst long"))
+    t = g.traversal().V().has_label("B").match(__.as_("b").in_("ab").as_("a"), __.as_("b").in_("ab").as_("d"), __.as_("b").out("bc").has("name", "x").as_("c"))
+    assert [p.label for p in t.branches[0].path if p.label != "B"] == ["A", "C", "A"]
+    assert sorted(map(tuple, t.table(a="a.id", d="d.id", c="c.id").collect())) == [(0, 0, 0), (0, 1, 0), (1, 0, 0), (1, 1, 0)]
